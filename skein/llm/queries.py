@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, packing, quality, sstable
+from . import bpe, lines, packing, pii, quality, sstable
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
         "op2_line_dedup": lines.query,
+        "op4_pii": pii.query,
         "op6_token_id_output": op6,
         "op8_bpe_round_trip": op8,
         "op9_quality_rules": quality.query,
