@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, packing, pii, quality, sstable
+from . import bpe, lines, neardup, packing, pii, quality, sstable
 from .common import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": lines.query,
         "op4_pii": pii.query,
         "op6_token_id_output": op6,
+        "op7_minhash_near_dedup": neardup.query,
         "op8_bpe_round_trip": op8,
         "op9_quality_rules": quality.query,
     }
