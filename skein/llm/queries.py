@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, neardup, packing, pii, quality, sstable
+from . import bpe, lines, neardup, packing, pii, quality, sstable, suffixes
 from .common import table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash_near_dedup": neardup.query,
         "op8_bpe_round_trip": op8,
         "op9_quality_rules": quality.query,
+        "op10_suffix_array_dedup": suffixes.query,
     }
 
 
