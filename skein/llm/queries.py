@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, neardup, packing, pii, quality, sstable, suffixes
+from . import bpe, embeddings, licenses, lines, neardup, packing, pii, quality, sstable, suffixes
 from .common import table
 
 
@@ -22,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.query,
         "op2_line_dedup": lines.query,
+        "op3_embedding_near_dedup": embeddings.query,
         "op4_pii": pii.query,
+        "op5_license_scans": licenses.query,
         "op6_token_id_output": op6,
         "op7_minhash_near_dedup": neardup.query,
         "op8_bpe_round_trip": op8,
@@ -32,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op5_license_scans": licenses.oracle()}
