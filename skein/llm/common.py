@@ -56,6 +56,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def kept_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filters by computed columns where they have been computed. A plain filter moves below the projections, which
+    copies their expressions into it, even into the lambdas of one another; it stays above one that numbers rows."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).where(condition & (F.col("_at") >= 0)).drop("_at")
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to a few rows, which bounds what Python objects a worker holds at once."""
     for b in batches:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, staged, table
+from .common import kept_where, let, staged, table
 
 # Kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -151,10 +151,10 @@ def mask(docs: DataFrame, **options) -> DataFrame:
     terms = staged(find(docs, **options).where(F.size("terms") > 0).select("doc_id", "terms"), "terms").dropDuplicates(["doc_id"])
     base = with_base(docs)
     plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    touched = base.where(F.size("_base") > 0).join(terms, "doc_id", "left")
+    touched = kept_where(base, F.size("_base") > 0).join(terms, "doc_id", "left")
     both = F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     changed = touched.withColumn("_spans", both).withColumn("text", masked(F.col("text"), F.col("_spans"))).select(*docs.columns)
-    return base.where(F.size("_base") == 0).select(*docs.columns).unionByName(changed)
+    return kept_where(base, F.size("_base") == 0).select(*docs.columns).unionByName(changed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
