@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import lines, neardup, packing, pii, quality
-from skein.llm.common import staged, table
+from skein.llm.common import kept_where, staged, table
 
 
 def resized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,7 +21,7 @@ def resized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return kept_where(quality.judged(docs, table(spark, sf_dir, "labels")), F.col("kept")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
