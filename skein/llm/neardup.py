@@ -12,9 +12,11 @@ nearly every text has all registers filled; the few others go on with a longer o
 
 Candidates. Texts that are equal word by word are one node from the start. Bands of `ROWS` registers name buckets. In a
 bucket each node is checked against a centre, chosen per band by hash, and counts of pairs stay linear in the bucket.
-Where a bucket still holds several components, a second round takes a centre anew among those cut off, and what is then
-left is compared pair by pair across components; so no link between components is lost to the centres. Every pair is
-verified on the texts' exact multisets.
+Where a bucket still holds several components, a second round takes a centre anew among those cut off. What is then left
+is compared across components: pair by pair in buckets of at most `FEW` nodes; larger buckets that share nodes form a
+group, compared block by block of `GROUP_BLOCK` nodes as products of matrices, each pair of blocks a task of its own
+that returns only links enough to join what it found. So no link between components is lost to the centres, and no
+group's pairs are ever rows. Every pair is verified on the texts' exact multisets.
 
 Cases: null, empty and wordless texts link with nothing; a null identifier is returned as a class of its own and takes
 part in none; rows sharing an identifier are each classed by their own text; extra columns are carried by `first_of_each`.
@@ -27,6 +29,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,7 @@ from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
+FEW, GROUP_BLOCK = 32, 512
 REGISTERS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 CACHED_WORDS = 500_000
@@ -185,6 +189,75 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(work, "a long, b long")
 
 
+def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join everything that the hits join, one fewer than nodes at most. hit: left x right."""
+    seen_left, seen_right, out = np.zeros(len(left), bool), np.zeros(len(right), bool), []
+    for root in np.flatnonzero(hit.any(1)):
+        if seen_left[root]:
+            continue
+        seen_left[root] = True
+        front = np.array([root])
+        while len(front):
+            new = np.flatnonzero(hit[front].any(0) & ~seen_right)
+            out += zip(left[front[hit[np.ix_(front, new)].argmax(0)]].tolist(), right[new].tolist(), strict=True)
+            seen_right[new] = True
+            back = np.flatnonzero(hit[:, new].any(1) & ~seen_left) if len(new) else new
+            out += zip(left[back].tolist(), right[new[hit[np.ix_(back, new)].argmax(1)]].tolist(), strict=True) if len(back) else []
+            seen_left[back] = True
+            front = back
+    return out
+
+
+def block_overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """sum(min) of every pair of multisets, exactly: the k-th copy of a shingle is an element of its own."""
+
+    def elements(bag: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for h in bag:
+            h = np.sort(h)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+            copy = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
+            with np.errstate(over="ignore"):
+                out.append(np.where(copy > 0, mix(h + copy.astype(U) * U(0xE7037ED1A0B428DB)), h))
+        return np.repeat(np.arange(len(bag)), [len(e) for e in out]), np.concatenate(out)
+
+    (i, a), (j, b) = elements(x), elements(y)
+    both = np.intersect1d(a, b)
+    total = np.zeros((len(x), len(y)), np.float32)
+    at, bt = np.searchsorted(both, a), np.searchsorted(both, b)
+    own_a = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == a) if len(both) else np.zeros(len(a), bool)
+    own_b = (bt < len(both)) & (both[np.minimum(bt, len(both) - 1)] == b) if len(both) else np.zeros(len(b), bool)
+    for low in range(0, len(both), columns):
+        m, n = np.zeros((len(x), columns), np.float32), np.zeros((len(y), columns), np.float32)
+        k = own_a & (at >= low) & (at < low + columns)
+        m[i[k], at[k] - low] = 1
+        k = own_b & (bt >= low) & (bt < low + columns)
+        n[j[k], bt[k] - low] = 1
+        total += m @ n.T
+    return total
+
+
+def group_links(grouped: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join what is linked inside each group, compared block by block; each pair of blocks is a task of
+    its own and returns fewer links than it has nodes. grouped: group, node."""
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    rows = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        shingler = Shingler()
+        bags_ = shingler.hashes([shingler.words(t) for t in part["text"]])
+        own, node = part["own"].to_numpy(), part["node"].to_numpy()
+        x, y = np.flatnonzero(own == part["i"].iloc[0]), np.flatnonzero(own == part["j"].iloc[0])
+        size = np.array([len(h) for h in bags_])
+        both = block_overlaps([bags_[k] for k in x], [bags_[k] for k in y]).astype(np.float64)
+        hit = both >= threshold * np.maximum(size[x][:, None] + size[y][None, :] - both, 1)
+        hit &= node[x][:, None] != node[y][None, :]
+        return pd.DataFrame(spanning(hit, node[x], node[y]), columns=["a", "b"], dtype="int64")
+
+    return rows.join(texts, "node").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -210,7 +283,14 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
         split = here.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         cut = here.join(split, "bucket")
         if last:
-            rest = cut.select("bucket", F.col("node").alias("a"), F.col("comp").alias("x")).join(cut.select("bucket", F.col("node").alias("b"), F.col("comp").alias("y")), "bucket").where("x < y").select("a", "b")
+            crowd = cut.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
+            cut = staged(cut.join(crowd, "bucket"), "cut")
+            few = cut.where(F.col("n") <= FEW)
+            rest = few.select("bucket", F.col("node").alias("a"), F.col("comp").alias("x")).join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("y")), "bucket").where("x < y").select("a", "b")
+            hubs = cut.where(F.col("n") > FEW).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+            if hubs.limit(1).count():
+                groups = components(hubs).select(F.col("comp").alias("group"), "node")
+                links = links.unionByName(staged(group_links(groups, texts, threshold), "found"))
         else:
             anew = cut.where("comp <> low").groupBy("bucket").agg(F.min(F.struct(turn.alias("turn"), "node", "comp")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.comp").alias("own"))
             rest = cut.join(anew, "bucket").where("comp <> own").select(F.col("node").alias("a"), F.col("centre").alias("b"))
