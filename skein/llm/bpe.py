@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small
+from .common import sized, small
 from .tokens import SegmentEncoder, load, packed, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -61,10 +61,10 @@ class ForcedEncoder(SegmentEncoder):
         return [raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
 
     def bulk(self, parts: list[str]) -> list[bytes]:
-        cut = [[f for w in WORDS.findall(p) for f in self.fragments(w)] for p in parts]
+        cut = [[] if p in self.special else [f for w in WORDS.findall(p) for f in self.fragments(w)] for p in parts]
         flat = list(dict.fromkeys(f for row in cut for f in row))
         ids = dict(zip(flat, (packed(e.ids) for e in self.plain_bpe.encode_batch_fast(flat, add_special_tokens=False)), strict=True))
-        return [b"".join([ids[f] for f in row]) for row in cut]
+        return [self.special[p] if p in self.special else b"".join([ids[f] for f in row]) for p, row in zip(parts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -77,8 +77,8 @@ def decode(ids: np.ndarray, tokens: list[bytes]) -> str:
     return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u4") for b in forced_encoder(path).encode([t or "" for t in texts])]
+def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    return forced_encoder(path).encode_array(texts)
 
 
 def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def with_ids(docs: DataFrame, text: str = "text", out: str = "ids", path: str |
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            ids = pa.array([x.astype(np.int32) for x in encode_texts(b.column(text).to_pylist(), path)], pa.list_(pa.int32()))
+            ids = pa.array([x.astype(np.int32) for x in encode_texts(b.column(text), path)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in schema.fields[:-1]), ids], [f.name for f in schema.fields])
 
     return docs.mapInArrow(work, schema)
@@ -115,8 +115,8 @@ def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = forced_encoder(path)
         decimal = [b"%d," % i for i in range(len(encoder.token_bytes))]
-        for b in small(batches):
-            rows = encode_texts(b.column(1).to_pylist(), path)
+        for b in sized(batches, 1):
+            rows = encode_texts(b.column(1), path)
             written = [hashlib.sha256(b"".join(map(decimal.__getitem__, x.tolist()))[:-1]).hexdigest() for x in rows]
             decoded = [hashlib.sha256(decode(x, encoder.token_bytes).encode()).hexdigest() for x in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array(written), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +70,19 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield b.slice(at, rows)
 
 
+def sized(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most `rows` rows and about `size` bytes of a text column (one longer text stays whole)."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for k, n in enumerate(lengths.tolist()):
+            if k > at and (held + n > size or k - at >= rows):
+                yield b.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged, table
+from .common import sized, staged, table
 from .tokens import tokenizer_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -178,20 +178,20 @@ def places(packed: Packed) -> dict[int, np.ndarray]:
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """part, doc_id, piece, start, length, ids_crc32, local_rank (among the part's pieces of this length, from 0)."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, ranks, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_encoder(path)
-        for b in small(batches):
+        for b in sized(batches, 1):
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((part, doc_id, piece, at // 4, n, zlib.crc32(own), int(ranks[n])))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_array(b.column(1)), strict=True):
+                ids = np.concatenate([ids, end])
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    n = len(own)
+                    rows.append((part, doc_id, piece, at, n, zlib.crc32(own.tobytes()), int(ranks[n])))
                     ranks[n] += 1
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "doc_id", "piece", "start", "length", "ids_crc32", "local_rank"])

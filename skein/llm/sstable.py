@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width, small
+from .common import shared_dir, shuffle_width, sized
 from .tokens import segment_encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -196,9 +196,9 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
         encoder = segment_encoder(path)
         kind = "<u2" if len(encoder.token_bytes) <= 1 << 16 else "<u4"
         end = np.array([end_id], kind).tobytes()
-        for b in small(batches):
+        for b in sized(batches, 1):
             at = np.searchsorted(bounds, b.column(0).to_numpy(), side="right").astype(np.int32)
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encoder.encode([t or "" for t in b.column(1).to_pylist()])]
+            ids = [x.astype(kind).tobytes() + end for x in encoder.encode_array(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     coded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")

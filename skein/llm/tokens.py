@@ -13,10 +13,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 700_000
 CACHED_CHARS = 48
 # The code points with the Unicode property White_Space, which the tokenizers' \s stands for.
 WHITE_POINTS = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -24,11 +26,12 @@ WHITE = "".join(map(chr, WHITE_POINTS))
 LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[.,!?;:|])"  # a letter and this punctuation never share a token
 SEGMENT = re.compile(f"[{WHITE}]*{LETTERS}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 PLAIN_WORD = re.compile(LETTERS + r"|[^ \t\n\r\x0b\x0c]+")
-LATIN = re.compile(r"[\x00-\x1b\x20-\xff]*")
 ONE_WORD = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
 SPACED_WORD = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: White space other than single spaces and line ends between words: such a text is cut by SEGMENT instead.
-UNEVEN = re.compile(f"[ \n](?= )|[{''.join(map(chr, sorted({*WHITE_POINTS} - {0xA, 0x20})))}]")
+ODD_WHITE = "".join(map(chr, sorted({*WHITE_POINTS} - {0xA, 0x20})))
+UNEVEN = re.compile(f"[ \n] |[{ODD_WHITE}]")
+UNEVEN_RE2 = f"[ \n] |[{ODD_WHITE}]"
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,6 +90,8 @@ class Encoder:
     """Values of texts (ids as little-endian unsigned 32-bit bytes, unless `bulk` is replaced), joined from the values of words,
     which are joined from those of parts. Subclasses say how a text is cut into words and a word into parts."""
 
+    lead = ""
+
     def __init__(self, path: str):
         self.tok = load(path)
         self.parts = Cache(self.bulk)
@@ -103,28 +108,61 @@ class Encoder:
         known.release(passing)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self.cut_text(t) for t in texts]
-        passing = self.words.need(rows)
-        out = [b"".join(map(self.words.__getitem__, row)) for row in rows]
+    def values(self, words: list[str]) -> list[bytes]:
+        passing = self.words.need([words])
+        out = list(map(self.words.__getitem__, words))
         self.words.release(passing)
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's value, for few texts."""
+        rows = [self.cut_text(t) for t in texts]
+        found = dict(zip(keys := list({w for row in rows for w in row}), self.values(keys), strict=True))
+        return [b"".join(map(found.__getitem__, row)) for row in rows]
+
+    def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids. Words are split and numbered by Arrow, so Python sees each distinct one once a batch."""
+        flat, offsets, extra = self.numbered(texts)
+        coded = flat.dictionary_encode()
+        values = self.values([self.lead + w for w in coded.dictionary.to_pylist()])
+        number = coded.indices.to_numpy()
+        if extra:  # each text's first word has a value of its own
+            number = number.copy()
+            number[offsets[:-1]] = len(values) + np.arange(len(extra))
+            values += extra
+        store = np.frombuffer(b"".join(values), "<u4")
+        size = np.array([len(v) // 4 for v in values], np.int64)
+        start = np.cumsum(size) - size
+        sizes = size[number]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = store[np.repeat(start[number] - ends[:-1], sizes) + np.arange(ends[-1])]
+        at = ends[offsets]
+        return [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
 
 class WordEncoder(Encoder):
     """A tokenizer that lower-cases and drops white space, and marks the end of each word in the token's name.
 
-    Its special tokens hold no white space, so runs between ASCII white space are encoded each on its own. Latin-1
-    texts, where every version of Unicode agrees on lower case, are lower-cased first, which leaves fewer words.
+    Its special tokens hold no white space and no capitals, so runs between ASCII white space are encoded each on its
+    own, A-Z lower-cased first, which leaves fewer words.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def cut_text(self, text: str) -> list[str]:
-        return text.lower().split() if LATIN.fullmatch(text) else PLAIN_WORD.findall(text)
+        return PLAIN_WORD.findall(text)
+
+    def numbered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+        texts = pc.fill_null(texts, "")
+        low = pc.ascii_lower(texts)
+        for content in self.special:  # lower-casing must not make a special token
+            low = pc.if_else(pc.match_substring(low, content), texts, low)
+        words = pc.ascii_split_whitespace(low)
+        return words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py(), []
 
     def cut_word(self, word: str) -> list[str]:
         return PLAIN_WORD.findall(word)
@@ -162,6 +200,22 @@ class SegmentEncoder(Encoder):
             return [w for p in self.pattern.split(text) for w in ([p] if p in self.special else self.cut_plain(p))]
         return self.cut_plain(text)
 
+    lead = " "
+
+    def numbered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+        """Even texts are split at spaces, where a word's part begins; others count as one word, encoded apart."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNEVEN_RE2)
+        for content in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        words = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        flat, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
+        whole = texts.filter(odd).to_pylist()
+        first = self.encode(flat.take(pa.array(offsets[:-1])).to_pylist())
+        for k, value in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), self.encode(whole), strict=True):
+            first[k] = value
+        return flat, offsets, first
+
     def cut_word(self, word: str) -> list[str]:
         return [word] if word in self.special else SEGMENT.findall(word)
 
