@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_width, sized
-from .tokens import segment_encoder, tokenizer_path
+from .tokens import load, segment_encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -191,10 +191,11 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     found = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000)).first()[0]
     bounds = np.array(sorted(set(found or [])), np.int64)
+    width = 2 if load(path).get_vocab_size() <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = segment_encoder(path)
-        kind = "<u2" if len(encoder.token_bytes) <= 1 << 16 else "<u4"
+        kind = f"<u{width}"
         end = np.array([end_id], kind).tobytes()
         for b in sized(batches, 1):
             at = np.searchsorted(bounds, b.column(0).to_numpy(), side="right").astype(np.int32)
@@ -210,7 +211,6 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
         system, at = file_system(folder)
         system.create_dir(at, recursive=True)
         writer = stream = None
-        width = 2 if len(segment_encoder(path).token_bytes) <= 1 << 16 else 4
         for b in batches:
             for shard, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if writer is None:
@@ -227,7 +227,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{shard:06d}.sst"]), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.ids], pa.int64())], ["shard", "path", "documents", "ids"])
 
     done = dealt.mapInArrow(write, "shard int, path string, documents long, ids long")
-    return [r.asDict() for r in done.orderBy("shard").collect()]  # a row for each shard
+    return sorted((r.asDict() for r in done.collect()), key=lambda s: s["shard"])  # a row for each shard
 
 
 def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact, cached use of the public tokenizers inside executors.
 
 Texts are cut where the tokenizer's own rules put a boundary whatever stands around it. The parts between such cuts
-recur, so each worker encodes a part once and looks it up afterwards: first whole words, then, for words not seen
-before, their letters apart from their punctuation. Caches hold at most about `CACHE_ENTRIES`, and long parts
-are never kept, so memory is bounded.
+recur, so each worker encodes a part once and looks it up afterwards. Caches hold at most about `CACHE_ENTRIES`, and long
+parts are never kept, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 900_000
 CACHED_CHARS = 48
 # The code points with the Unicode property White_Space, which the tokenizers' \s stands for.
 WHITE_POINTS = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -30,8 +29,9 @@ ONE_WORD = re.compile(r"[a-z\xe0-\xf6\xf8-\xff]+")
 SPACED_WORD = re.compile(r" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: White space other than single spaces and line ends between words: such a text is cut by SEGMENT instead.
 ODD_WHITE = "".join(map(chr, sorted({*WHITE_POINTS} - {0xA, 0x20})))
-UNEVEN = re.compile(f"[ \n] |[{ODD_WHITE}]")
-UNEVEN_RE2 = f"[ \n] |[{ODD_WHITE}]"
+JOINED = "\x01"
+UNEVEN = f"[ \n] |[{ODD_WHITE}{JOINED}]"  # for RE2, as the next one
+LETTER_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,!?;:|])"
 
 
 def tokenizer_path(name: str) -> str:
@@ -87,31 +87,20 @@ class Cache(dict):
 
 
 class Encoder:
-    """Values of texts (ids as little-endian unsigned 32-bit bytes, unless `bulk` is replaced), joined from the values of words,
-    which are joined from those of parts. Subclasses say how a text is cut into words and a word into parts."""
-
-    lead = ""
+    """Values of texts (ids as little-endian unsigned 32-bit bytes, unless `bulk` is replaced), joined from the values of
+    parts. Subclasses say how a text is cut into parts."""
 
     def __init__(self, path: str):
         self.tok = load(path)
         self.parts = Cache(self.bulk)
-        self.words = Cache(self.of_words)
 
     def library(self, parts: list[str]) -> list[bytes]:
         return [packed(e.ids) for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def of_words(self, words: list[str]) -> list[bytes]:
-        cut = [self.cut_word(w) for w in words]
-        passing = self.parts.need(cut)
-        known = self.parts
-        out = [known[row[0]] if len(row) == 1 else b"".join([known[p] for p in row]) for row in cut]
-        known.release(passing)
-        return out
-
-    def values(self, words: list[str]) -> list[bytes]:
-        passing = self.words.need([words])
-        out = list(map(self.words.__getitem__, words))
-        self.words.release(passing)
+    def values(self, parts: list[str]) -> list[bytes]:
+        passing = self.parts.need([parts])
+        out = list(map(self.parts.__getitem__, parts))
+        self.parts.release(passing)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -121,12 +110,12 @@ class Encoder:
         return [b"".join(map(found.__getitem__, row)) for row in rows]
 
     def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
-        """Each text's ids. Words are split and numbered by Arrow, so Python sees each distinct one once a batch."""
+        """Each text's ids. Parts are split and numbered by Arrow, so Python sees each distinct one once a batch."""
         flat, offsets, extra = self.numbered(texts)
         coded = flat.dictionary_encode()
-        values = self.values([self.lead + w for w in coded.dictionary.to_pylist()])
+        values = self.values(self.named(coded.dictionary.to_pylist()))
         number = coded.indices.to_numpy()
-        if extra:  # each text's first word has a value of its own
+        if extra:  # each text's first part has a value of its own
             number = number.copy()
             number[offsets[:-1]] = len(values) + np.arange(len(extra))
             values += extra
@@ -156,17 +145,18 @@ class WordEncoder(Encoder):
     def cut_text(self, text: str) -> list[str]:
         return PLAIN_WORD.findall(text)
 
+    def named(self, parts: list[str]) -> list[str]:
+        return parts
+
     def numbered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
         texts = pc.fill_null(texts, "")
         low = pc.ascii_lower(texts)
-        for content in self.special:  # lower-casing must not make a special token
-            low = pc.if_else(pc.match_substring(low, content), texts, low)
-        words = pc.ascii_split_whitespace(low)
+        cut = pc.replace_substring_regex(low, LETTER_MARK, r"\1 \2")
+        for content in self.special:  # neither cut nor made by lower-casing
+            cut = pc.if_else(pc.match_substring(low, content), texts, cut)
+        words = pc.ascii_split_whitespace(cut)
         return words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py(), []
 
-    def cut_word(self, word: str) -> list[str]:
-        return PLAIN_WORD.findall(word)
-
     def bulk(self, parts: list[str]) -> list[bytes]:
         out = dict.fromkeys(parts)
         if simple := [p for p in parts if ONE_WORD.fullmatch(p)]:
@@ -189,26 +179,22 @@ class SegmentEncoder(Encoder):
         self.token_bytes = token_bytes(self.tok)
         self.sizes = np.array([len(b) for b in self.token_bytes])
 
-    def cut_plain(self, text: str) -> list[str]:
-        if UNEVEN.search(text):
-            return SEGMENT.findall(text)
-        first, *rest = text.split(" ")
-        return [*SEGMENT.findall(first), *[" " + w for w in rest]]
-
     def cut_text(self, text: str) -> list[str]:
         if self.pattern and self.pattern.search(text):
-            return [w for p in self.pattern.split(text) for w in ([p] if p in self.special else self.cut_plain(p))]
-        return self.cut_plain(text)
+            return [w for p in self.pattern.split(text) for w in ([p] if p in self.special else SEGMENT.findall(p))]
+        return SEGMENT.findall(text)
 
-    lead = " "
+    def named(self, parts: list[str]) -> list[str]:
+        return [p[1:] if p[:1] == JOINED else " " + p for p in parts]
 
     def numbered(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
-        """Even texts are split at spaces, where a word's part begins; others count as one word, encoded apart."""
+        """Even texts are split at spaces, where a part begins, and between letters and marks, where JOINED stands in for
+        the space; other texts count as one part, encoded apart."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, UNEVEN_RE2)
+        odd = pc.match_substring_regex(texts, UNEVEN)
         for content in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, content))
-        words = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        words = pc.split_pattern(pc.replace_substring_regex(pc.if_else(odd, "", texts), LETTER_MARK, rf"\1 {JOINED}\2"), " ")
         flat, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
         whole = texts.filter(odd).to_pylist()
         first = self.encode(flat.take(pa.array(offsets[:-1])).to_pylist())
@@ -216,9 +202,6 @@ class SegmentEncoder(Encoder):
             first[k] = value
         return flat, offsets, first
 
-    def cut_word(self, word: str) -> list[str]:
-        return [word] if word in self.special else SEGMENT.findall(word)
-
     def bulk(self, parts: list[str]) -> list[bytes]:
         """Parts that start with a space and end in a letter can stand in one text: each space after a letter is a cut."""
         out = dict.fromkeys(parts)
