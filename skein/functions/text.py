@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a strip removes, sentence marks, and the ranges that tokens are made of.
 EDGE = r"[\s\p{Z}\x1c-\x1f\x85]"
@@ -21,12 +22,12 @@ STOP_WORDS = """a an are can could does explain how is please the what why 介
 UNITS = {"": 0, "b": 0, "k": 1, "kb": 1, "kib": 1, "m": 2, "mb": 2, "mib": 2, "g": 3, "gb": 3, "gib": 3, "t": 4, "tb": 4, "tib": 4}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn"))
 
@@ -143,7 +144,7 @@ def contains_any(text: Column, alternatives: Column) -> Column:
     return F.exists(alternatives, lambda a: key.contains(answer_key(a)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def relevant_excerpt(evidence: pd.Series, facts: pd.Series) -> pd.Series:
     """The evidence around the first alternative found of each fact (70 characters before, 150 from it), spans within 20
     of each other joined, at most 1,200 characters; the first 400 where nothing is found. facts: arrays of alternatives."""

@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffixes that can be read, and directories that are never entered.
 SUFFIXES = (".txt", ".md", ".pdf", ".pptx")
@@ -132,7 +133,7 @@ def pptx_text(data: bytes) -> str:
 READERS = {"txt": decode, "md": decode, "json": lambda data: data.decode("utf-8-sig"), "pdf": pdf_text, "pptx": pptx_text}
 
 
-@F.pandas_udf("text string, error string")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
 def read_text(content: pd.Series, file_type: pd.Series) -> pd.DataFrame:
     """A file's text, or why it has none; a fault stays with its file."""
 
