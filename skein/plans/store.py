@@ -13,7 +13,10 @@ from ..sources import files as fs
 
 DOCUMENTS = "doc_id long, path string, filename string, file_type string, sha256 string, size long, modified_ns long, parser_fingerprint string, indexed_at timestamp"
 CHUNKS = "doc_id long, chunk_index int, content string, start_offset long, chunk_id long"
-TABLES = ("documents", "chunks", "postings", "lengths", "stats")
+POSTINGS = "field string, term string, chunk_id long, positions array<int>"
+LENGTHS = "field string, chunk_id long, length long"
+STATS = "field string, n_chunks long, avg_length double"
+TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "stats": STATS}
 
 
 def changed(found: DataFrame, documents: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ class Store:
             documents, chunks = self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS)
             length = lengths(chunks)
             return Index(documents, chunks, postings(chunks), length, stats(length))
-        return Index(*[self.spark.read.parquet(f"{self.root}/v={v}/{t}") for t in TABLES])
+        return Index(*[self.spark.read.schema(s).parquet(f"{self.root}/v={v}/{t}") for t, s in TABLES.items()])  # given, since a table may hold no rows
 
     def commit(self, documents: DataFrame, chunks: DataFrame, posted: DataFrame | None = None, length: DataFrame | None = None) -> int:
         """Writes a version and makes it current."""
@@ -55,12 +58,12 @@ class Store:
         base = f"{self.root}/v={v}"
         documents.write.mode("overwrite").parquet(f"{base}/documents")
         chunks.write.mode("overwrite").parquet(f"{base}/chunks")
-        chunks = self.spark.read.parquet(f"{base}/chunks")
+        chunks = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks")
         posted = postings(chunks) if posted is None else posted
         # terms lie together and in order, so that a query's terms prune files and row groups
         posted.repartition("field", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{base}/postings")
         (lengths(chunks) if length is None else length).write.mode("overwrite").parquet(f"{base}/lengths")
-        stats(self.spark.read.parquet(f"{base}/lengths")).write.mode("overwrite").parquet(f"{base}/stats")
+        stats(self.spark.read.schema(LENGTHS).parquet(f"{base}/lengths")).write.mode("overwrite").parquet(f"{base}/stats")
         system, new = self._fs(), self._path("CURRENT.new")
         out = system.create(new, True)
         out.write(bytearray(str(v).encode()))

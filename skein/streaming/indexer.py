@@ -13,7 +13,7 @@ from ..sources import files as fs
 
 def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Every batch of new text and Markdown files becomes one version of the store."""
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(folder)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(folder)
 
     def add(batch: DataFrame, number: int) -> None:
         kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
