@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -84,5 +88,21 @@ def sized(batches: Iterator[pa.RecordBatch], column: int, rows: int = 4096, size
             yield b.slice(at)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of Arrow batches where it is above `BATCH_BYTES`: long texts would make
+    batches of ten thousand rows large both in the JVM and in workers."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Hands a worker's free memory back to the system, since workers stay for a while after their last task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # of glibc only
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

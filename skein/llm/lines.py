@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, small, table
+from .common import bound_batches, shared_dir, small, table
 from .sstable import file_system, open_input
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -235,6 +235,7 @@ def drop_lines(docs: DataFrame, shards: list[str], *, min_chars: int = MIN_CHARS
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    bound_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession, "lines")
     return drop_lines(docs, build_index(docs, folder, min_chars=min_chars, min_docs=min_docs, shard_keys=shard_keys), min_chars=min_chars)
 

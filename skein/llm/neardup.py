@@ -35,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, staged, table, unstage
+from .common import bound_batches, small, staged, table, unstage
 from .components import components
+from .tokens import forget
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
-FEW, GROUP_BLOCK = 32, 512
+FEW, GROUP_BLOCK, GROUP_CHARS = 32, 512, 4 << 20
 REGISTERS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 CACHED_WORDS = 500_000
@@ -152,6 +153,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, node (hash of the words in order; null without words), bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler = Shingler()
         for b in small(batches, 128):
             rows = [shingler.words(t) for t in b.column(1).to_pylist()]
@@ -172,6 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler, recent = Shingler(), OrderedDict()
 
         def bag(node: int, text: str):
@@ -239,14 +242,16 @@ def block_overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096
 
 def group_links(grouped: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that join what is linked inside each group, compared block by block; each pair of blocks is a task of
-    its own and returns fewer links than it has nodes. grouped: group, node."""
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    its own and returns fewer links than it has nodes. A block holds about `GROUP_BLOCK` texts, fewer where texts are long.
+    grouped: group, node; texts: node, text, chars."""
+    sizes = grouped.join(texts.select("node", "chars"), "node").groupBy("group").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("chars") / GROUP_CHARS)).cast("int").alias("blocks"))
     rows = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
+        forget()
         shingler = Shingler()
-        bags_ = shingler.hashes([shingler.words(t) for t in part["text"]])
+        bags_ = [shingler.hashes([shingler.words(t)])[0] for t in part["text"]]  # one text's words at a time
         own, node = part["own"].to_numpy(), part["node"].to_numpy()
         x, y = np.flatnonzero(own == part["i"].iloc[0]), np.flatnonzero(own == part["j"].iloc[0])
         size = np.array([len(h) for h in bags_])
@@ -255,7 +260,7 @@ def group_links(grouped: DataFrame, texts: DataFrame, threshold: float) -> DataF
         hit &= node[x][:, None] != node[y][None, :]
         return pd.DataFrame(spanning(hit, node[x], node[y]), columns=["a", "b"], dtype="int64")
 
-    return rows.join(texts, "node").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    return rows.join(texts.select("node", "text"), "node").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -264,6 +269,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: doc_id, node, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
+    bound_batches(docs.sparkSession)
     sketched = staged(sketches(docs), "sketches")
     nodes = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     known = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL")
@@ -274,7 +280,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     first = staged(ordered(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "pairs")
     asked = members.select("node").distinct()
     one = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(one.withColumnRenamed("node", "own"), "doc_id").select(F.col("own").alias("node"), "text").dropDuplicates(["node"]), "texts")
+    texts = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(one.withColumnRenamed("node", "own"), "doc_id").select(F.col("own").alias("node"), "text", F.length("text").alias("chars")).dropDuplicates(["node"]), "texts")
     links = staged(verified(first, texts, threshold), "found")
     tested = first
     for last in (False, True):

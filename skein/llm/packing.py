@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, staged, table
-from .tokens import tokenizer_path, word_encoder
+from .common import bound_batches, sized, staged, table
+from .tokens import forget, tokenizer_path, word_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, ranks, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), word_encoder(path)
-        for b in sized(batches, 1):
+        for b in sized(batches, 1, size=6 << 20):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_array(b.column(1)), strict=True):
                 ids = np.concatenate([ids, end])
@@ -202,6 +202,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 def pack_documents(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    bound_batches(spark)
     cut = staged(pieces(docs, path or tokenizer_path(VOCABULARY), capacity, end_id), "pieces")
     by_part = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
@@ -213,6 +214,7 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, capacity: int =
     table_ = spark.sparkContext.broadcast(where)  # a few times `capacity` rows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # encoding is over
         known = table_.value
         for b in batches:
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()

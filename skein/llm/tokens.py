@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_ENTRIES = 900_000
@@ -239,3 +241,10 @@ def word_encoder(path: str) -> WordEncoder:
 @lru_cache(maxsize=2)
 def segment_encoder(path: str) -> SegmentEncoder:
     return SegmentEncoder(path)
+
+
+def forget() -> None:
+    """Lets go of cached parts that an earlier step left in this worker."""
+    word_encoder.cache_clear()
+    segment_encoder.cache_clear()
+    give_back()
