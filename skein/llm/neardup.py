@@ -11,7 +11,8 @@ register with the probability of their weighted Jaccard similarity. Processes un
 nearly every text has all registers filled; the few others go on with a longer one.
 
 Candidates. Texts that are equal word by word are one node from the start. Bands of `ROWS` registers name buckets. In a
-bucket each node is checked against a centre, chosen per band by hash, and counts of pairs stay linear in the bucket.
+bucket each node is checked against a centre, first by one of `CENTRES` orders of nodes, so that the buckets which a large
+group fills in many bands mostly share their centres: a node meets few of them, and counts of pairs stay linear.
 Where a bucket still holds several components, a second round takes a centre anew among those cut off. What is then left
 is compared across components: pair by pair in buckets of at most `FEW` nodes; larger buckets that share nodes form a
 group, compared block by block of `GROUP_BLOCK` nodes as products of matrices, each pair of blocks a task of its own
@@ -41,6 +42,7 @@ from .tokens import forget
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
+CENTRES = 4
 FEW, GROUP_BLOCK, GROUP_CHARS = 32, 512, 4 << 20
 REGISTERS = BANDS * ROWS
 WORD = re.compile(r"\w+")
@@ -274,7 +276,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     nodes = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     known = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL")
     rows = known.select("node", F.explode("bands").alias("bucket")).distinct()
-    turn = F.xxhash64("node", "bucket")
+    turn = F.xxhash64("node", F.pmod("bucket", F.lit(CENTRES)))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("turn"), "node")).alias("centre")).where("n > 1").select("bucket", F.col("centre.node").alias("centre"))
     members = staged(rows.join(crowded, "bucket"), "members")
     first = staged(ordered(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "pairs")
