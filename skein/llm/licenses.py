@@ -1,16 +1,22 @@
 """Operator 5, license scans by sentence rules, native.
 
-A text's sentences are normalised (lower case, runs other than letters and digits become one space) and those that
-speak of licences are mapped to identifiers of known sentences. The text's identifier sequence is then matched against
-ordered rules, longest licences first; what a rule matches is taken out and the next rule sees the rest. Licence
-sentences that no rule used make the text `unmatched`, so that nothing known is lost.
+Texts are normalised (lower case, runs other than letters and digits become one space) and known sentences are mapped to
+identifiers. A sentence ends at a full stop or a blank line, also one of comment signs only; inside it, line ends and
+';' or ':' before a space are joints. A known sentence starts and ends at a joint or an end of the sentence and may run
+over joints, so wrapped notices are found as well as one-line ones without a full stop. The text's identifier sequence
+is then matched against ordered rules, longest licences first; what a rule matches is taken out and the next rule sees
+the rest. Licence sentences that no rule used make the text `unmatched`, so that nothing known is lost.
 
 All of it is row by row in one projection. Cases: a null or empty text has no sentences; repeated rows are scanned each;
 an empty table gives no rows; extra columns do not take part.
+
+The SQL of `oracle` cuts at every joint. It gives the same where no known sentence runs over one.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +64,36 @@ RULES = [
     ("<SPDX-mit-ref>", "MIT"),
     ("<SPDX-apache 2 0-ref>", "Apache-2.0"),
 ]
+END, JOINT = "\x01", "\x02"
 SPLIT = r"[.!?;:]+[ \t\r]+|[.!?;:]*\r?\n"
 SPEAKS = "licen[sc]e|permission|redistribut|warrant|as is|in no event|neither the name|copy of the|general public"
 
 
+def running(pattern: str) -> str:
+    """A known sentence's pattern, found anywhere in a marked text; its words may stand on either side of a joint."""
+    tail = " .*$" if pattern.endswith(" .*$") else ".*$" if pattern.endswith(".*$") else "$"
+    inner = pattern.removeprefix("^").removeprefix(".*").removesuffix(tail)
+    # a class with a space in it (that of SPDX) stays inside one piece
+    inner = "".join(x if x.startswith("[") else x.replace(" ", f"[ {JOINT}]").replace(".*", f"[^{END}]*?") for x in re.split(r"(\[[^\]]*\])", inner))
+    start = f"(?<![^{END}{JOINT}])" if pattern.startswith("^") else "(?<![a-z0-9])"
+    rest = f"[^{END}{JOINT}]*"  # to the joint only, so that what stands behind it is seen
+    return start + inner + {" .*$": f"(?: {rest}|{JOINT})", ".*$": rest, "$": f"(?![^{END}{JOINT}])"}[tail]
+
+
+ANY = "|".join(running(p) for _, p, _ in SENTENCES)
+SPEAKS_WRAPPED = SPEAKS.replace(" ", "[^a-z0-9]+")
+
+
+def marked(text: Column) -> Column:
+    """Normalised text in which END and JOINT stand between sentences and pieces, without spaces beside them."""
+    out = F.translate(F.lower(text), END + JOINT, "  ")
+    steps = [(r"[.!?]+(?=[ \t\r\n])", END), (r"\n[^a-z0-9\n]*+(?=\n)", END), (r"[;:]+(?=[ \t\r\n])|\n", JOINT), (f"[^a-z0-9{END}{JOINT}]++", " "),
+             (f" ?{JOINT}[ {JOINT}]*+", JOINT), (f"[ {JOINT}]?{END}[ {JOINT}{END}]*+", END)]
+    for pattern, mark in steps:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.trim(out)
+
+
 def identifier(sentence: Column) -> Column:
     """The known sentence's identifier, or null."""
     out = F.lit(None).cast("string")
@@ -73,8 +105,8 @@ def identifier(sentence: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones), sequence (their identifiers), licenses (in rule order), unmatched (what is left)."""
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    plain = F.transform(F.split("text", SPLIT), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    speaking = F.when(F.lower("text").rlike(SPEAKS), F.filter(plain, lambda s: s.rlike(SPEAKS))).otherwise(F.array().cast("array<string>"))
+    known = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(ANY), F.lit(0)), lambda s: F.translate(s, JOINT, " "))
+    speaking = F.when(F.lower("text").rlike(SPEAKS_WRAPPED), known).otherwise(F.array().cast("array<string>"))
     df = own.select("doc_id", F.filter(F.transform(speaking, identifier), lambda x: x.isNotNull()).alias("ids"))
     df = df.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ";").alias("sequence"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
     for pattern, name in RULES:

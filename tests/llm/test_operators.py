@@ -130,6 +130,57 @@ def test_licenses(spark, docs):
     assert {r.doc_id: r.licenses for r in licenses.scanned(rows).collect()} == {1: "MIT,Apache-2.0", 2: "", 3: "", 4: "CC-BY-NC-4.0"}
 
 
+NOTICES = {
+    "MIT-grant;MIT-notice;AsIs;Liability": ("MIT", """Copyright (c) 2020 A B
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""),
+    "BSD-use;BSD-source;BSD-binary;BSD-names;AsIs;Liability": ("BSD-3-Clause", """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must
+ *    retain the above copyright notice.
+ * 2. Redistributions in binary form must reproduce the above
+ *    copyright notice.
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products
+ *    derived from this software.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+ * AND ANY EXPRESS WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+ * OWNER BE LIABLE."""),
+    "Apache-2 0-ref;Apache-may;Apache-obtain": ("Apache-2.0", """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in
+# compliance with the License. You may obtain a copy of the
+# License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""),
+    "GPL-2-later": ("GPL-2.0-or-later", """// This program is free software; you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation; either version 2 of the License, or
+// (at your option) any later version."""),
+    "GPL-3-ref": ("GPL-3.0-only", "This work is licensed under the GNU\nGeneral Public License, version 3."),
+    "LGPL-2 1-ref": ("LGPL-2.1-only", "Distributed under the GNU Lesser General\r\nPublic License, version 2.1."),
+    "CC-by sa-4 0-ref": ("CC-BY-SA-4.0", "This work is licensed under a Creative\nCommons BY-SA 4.0 License."),
+    "MIT-ref": ("MIT", "This library is released under the\nMIT license."),
+    "SPDX-mit-ref": ("MIT", "/* SPDX-License-Identifier: MIT */\nint x;"),
+    "SPDX-apache 2 0-ref": ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nimport re"),
+    "AsIs;CC-by-4 0-ref": ("CC-BY-4.0", "The software is provided as is\nLicensed under CC BY 4.0"),
+}
+
+
+def test_wrapped_notices(spark):
+    rows = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(NOTICES.values())], "doc_id long, text string")
+    out = {r.doc_id: (r.sequence, r.licenses) for r in licenses.scanned(rows).collect()}
+    assert out == {k: (sequence, name) for k, (sequence, (name, _)) in enumerate(NOTICES.items())}
+
+
 def test_shards(spark, docs, empty):
     shards = sstable.write_shards(docs, shared_dir(spark, "t"), shards=3)
     tok, start = load(tokenizer_path(sstable.VOCABULARY)), 0
