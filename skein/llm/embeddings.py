@@ -7,12 +7,13 @@ a weight from the start, so a very common vector costs one row.
               that order, which has no hot bucket however alike vectors are; each keeps its `LIST` nearest above
               `PROSPECT`.
     refine    neighbours of a node are compared with one another and with it, and lists merged, until few lists change.
-    enlarge   a list that is full of links is saturated: there may be more. Saturated nodes that links join form a
-              group, and a group's nodes get lists as long as it takes: they are compared block by block, each pair of
-              blocks a task of its own, which returns counts, not pairs. Work there follows the square of the group's
-              size, as its number of links does.
-    audit     for a bounded sample of nodes, links are counted against all vectors. While too many are missing, the
-              start is repeated with other projections.
+    enlarge   a list that is full of links is saturated: there may be more. Saturated nodes and all that an edge above
+              `PROSPECT` joins to them form groups. What links with a saturated node is within 2 * 0.95 ** 2 - 1 = 0.805
+              of all that links with that node, so nodes at a group's border, which no full list names, are in it. A
+              group is compared block by block, each pair of blocks a task of its own, which returns counts and links
+              that span what is linked, not pairs. Work there follows the square of the group's size.
+    audit     for a sample of all nodes, links are counted against all vectors, and recall is the mean over those that
+              have links. While it is short, the start is repeated with other projections.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of unlike
 dimension do not link; a null identifier is returned without links; rows sharing an identifier count as vectors each;
@@ -31,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, staged, table
+from .common import shuffle_width, small, staged, table
 from .components import components
+from .neardup import spanning
 
 THRESHOLD, PROSPECT = 0.95, 0.8
 LIST, ORDERS, BITS, BLOCK = 16, 8, 48, 256
-ROUNDS, AUDIT, RECALL, ATTEMPTS = 4, 64, 0.995, 3
-GROUP_BLOCK = 512
+ROUNDS, AUDIT, RECALL, ATTEMPTS = 4, 2048, 0.995, 3
+GROUP_BLOCK, LARGEST_BLOCK, SALTS = 512, 2048, 32
 
 
 def units(embeddings: DataFrame) -> DataFrame:
@@ -167,14 +169,17 @@ def refined(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def group_counts(grouped: DataFrame, threshold: float) -> DataFrame:
-    """node, links: weighted counts of links inside each group. grouped: group, node, unit, weight."""
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
-    rows = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """node, other, links: weighted counts of links inside each group by pair of blocks, where other is null; else a link
+    (node, other), enough of them to join what is linked. grouped: group, node, unit, weight."""
+    block = F.greatest(F.lit(GROUP_BLOCK), F.least(F.lit(LARGEST_BLOCK), F.count("*") / 16))
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # spreads a large group's rows
+    rows = grouped.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SALTS)).cast("int")).join(sizes, ["group", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "unit", "weight")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        out = []
+        out = [pd.DataFrame({"node": [], "other": [], "links": []})]
         for _, same in part.groupby(part["unit"].str.len()):
             x, y = same[same["own"] == i], same[same["own"] == j]
             if not len(x) or not len(y):
@@ -184,11 +189,18 @@ def group_counts(grouped: DataFrame, threshold: float) -> DataFrame:
             if i == j:
                 np.fill_diagonal(hit, False)
             else:
-                out.append((y["node"], x["weight"].to_numpy() @ hit))
-            out.append((x["node"], hit @ y["weight"].to_numpy()))
-        return pd.concat([pd.DataFrame({"node": n, "links": c}) for n, c in out] or [pd.DataFrame({"node": [], "links": []})]).astype("int64")
+                out.append(pd.DataFrame({"node": y["node"], "other": None, "links": x["weight"].to_numpy() @ hit}))
+            out.append(pd.DataFrame({"node": x["node"], "other": None, "links": hit @ y["weight"].to_numpy()}))
+            joined = spanning(hit, x["node"].to_numpy(), y["node"].to_numpy())
+            out.append(pd.DataFrame(joined, columns=["node", "other"], dtype="int64").assign(links=0))
+        return pd.concat([d.astype({"node": "int64", "other": "Int64", "links": "int64"}) for d in out])
 
-    return rows.groupBy("group", "i", "j").applyInPandas(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return rows.groupBy("group", "i", "j").applyInPandas(compare, "node long, other long, links long")
+
+
+def summed(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and links (a, b) of what group_counts returned."""
+    return compared.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links")), compared.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
 def counted(edges: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -196,48 +208,49 @@ def counted(edges: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataF
     links = staged(edges.where(F.col("sim") >= threshold).select("a", "b"), "close")
     full = lists(edges).where((F.size("near") == LIST) & (F.get("near", F.lit(LIST - 1))["sim"] >= threshold)).select("node")
     full = staged(full, "full")
-    inner = links.join(full.select(F.col("node").alias("a")), "a", "left_semi").join(full.select(F.col("node").alias("b")), "b", "left_semi")
-    groups = staged(full.join(components(inner), "node", "left").select("node", F.coalesce("comp", "node").alias("group")), "groups")
-    dense = group_counts(nodes.join(groups, "node").select("group", "node", "unit", "weight"), threshold)
+    near = edges.where(F.col("sim") >= 2 * threshold**2 - 1).select("a", "b")
+    touched = near.join(full.select(F.col("node").alias("a")), "a", "left_semi").unionByName(near.join(full.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"))
+    groups = staged(components(touched).select("node", F.col("comp").alias("group")), "groups")
+    dense, joined = summed(staged(group_counts(nodes.join(groups, "node").select("group", "node", "unit", "weight"), threshold), "compared"))
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ways = ways.join(groups.select(F.col("node").alias("a"), F.col("group").alias("g")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("group").alias("h")), "b", "left").where("g IS NULL OR h IS NULL OR g <> h")
     sparse = ways.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("links"))
-    return staged(dense.unionByName(sparse).groupBy("node").agg(F.sum("links").alias("links")), "counts"), links
+    return staged(dense.unionByName(sparse).groupBy("node").agg(F.sum("links").alias("links")), "counts"), links.unionByName(joined)
 
 
 def audited(counts: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded sample of nodes that were found; the sample meets all vectors."""
-    sample = nodes.join(counts.where("links > 0"), "node", "left").orderBy(F.col("links").isNull(), F.xxhash64("node")).limit(AUDIT // 2).select("node", "unit", "links").collect()
-    sample += nodes.join(counts, "node", "left").orderBy(F.xxhash64("node", F.lit(1))).limit(AUDIT // 2).select("node", "unit", "links").collect()
-    if not sample:
+    """Mean share of its links that were found, over the nodes with links in a sample of all; the sample meets all vectors."""
+    picked = nodes.select("node", "unit").orderBy(F.xxhash64("node", F.lit(1))).limit(AUDIT)
+    sample = picked.join(counts, "node", "left").collect()  # at most AUDIT rows
+    asked = [(size, [k for k, r in enumerate(sample) if len(r["unit"]) == size]) for size in {len(r["unit"]) for r in sample}]
+    asked = [(size, np.array(at), np.array([sample[k]["node"] for k in at]), np.frombuffer(b"".join([sample[k]["unit"] for k in at]), np.float64).reshape(len(at), -1)) for size, at in asked]
+    if not asked:
         return 1.0
-    asked = [(k, r["node"], np.frombuffer(r["unit"], np.float64)) for k, r in enumerate(sample)]
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(asked), np.int64)
-        for b in batches:
+        total = np.zeros(sum(len(at) for _, at, _, _ in asked), np.int64)
+        for b in small(batches, 1024):
             node, unit, weight = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             sizes = np.array([len(u) for u in unit])
-            for size in np.unique(sizes):
+            for size, at, self_, v in asked:
                 own = np.flatnonzero(sizes == size)
-                m = np.frombuffer(b"".join([unit[k] for k in own]), np.float64).reshape(len(own), -1)
-                for k, self_, v in asked:
-                    if 8 * len(v) == size:
-                        total[k] += weight[own][(m @ v >= threshold) & (node[own] != self_)].sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked))), pa.array(total)], ["k", "links"])
+                if len(own):
+                    m = np.frombuffer(b"".join([unit[k] for k in own]), np.float64).reshape(len(own), -1)
+                    total[at] += weight[own] @ ((m @ v.T >= threshold) & (node[own][:, None] != self_))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "links"])
 
     true = dict(nodes.select("node", "unit", "weight").mapInArrow(brute, "k long, links long").groupBy("k").agg(F.sum("links")).collect())
-    there = sum(true.values())
-    return sum(min(r["links"] or 0, true[k]) for k, r in enumerate(sample)) / there if there else 1.0
+    shares = [min(r["links"] or 0, true[k]) / true[k] for k, r in enumerate(sample) if true[k]]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def near_vectors(embeddings: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id, kept."""
     rows = staged(units(embeddings), "units")
     nodes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("unit").alias("unit"), F.count("*").alias("weight"), F.min("vec_id").alias("least")), "nodes")
-    edges = None
+    edges, width = None, ORDERS
     for attempt in range(ATTEMPTS):
-        found = unordered(sorted_blocks(nodes, range(attempt * ORDERS, (attempt + 1) * ORDERS)))
+        found = unordered(sorted_blocks(nodes, range(attempt * width, (attempt + 1) * width)))
         found = staged(found if edges is None else unordered(edges.unionByName(found)), "edges")
         edges = refined(found, nodes)
         counts, links = counted(edges, nodes, threshold)

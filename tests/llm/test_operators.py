@@ -95,6 +95,29 @@ def test_vectors(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def linked(vectors):
+    """Links of each vector and the smallest vector reachable, by brute force."""
+    hit = vectors @ vectors.T >= 0.95
+    least, before = np.arange(len(hit)), None
+    while before is None or (least != before).any():
+        before, least = least, np.array([least[row].min() for row in hit])
+    return hit.sum(1) - 1, least
+
+
+def vectors_of(spark, vectors):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    return sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(rows).collect())
+
+
+def test_vectors_at_the_border_of_a_dense_group(spark):
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal(64) / 8 + rng.standard_normal((2500, 64)) * 0.0343 * rng.uniform(0.6, 1.4, 2500)[:, None]
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    n, least = linked(m)
+    assert ((n > 0) & (n < embeddings.LIST)).sum() > 50
+    assert vectors_of(spark, m) == [(i, n[i], least[i]) for i in range(len(m))]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     assert {(r.node, r.comp) for r in components.components(links).collect()} == {(i, 0) for i in range(31)} | {(50, 50), (51, 50)}
