@@ -118,6 +118,21 @@ def test_vectors_at_the_border_of_a_dense_group(spark):
     assert vectors_of(spark, m) == [(i, n[i], least[i]) for i in range(len(m))]
 
 
+def test_isolated_pairs_missed_by_the_start(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ORDERS", 1)
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    m = rng.standard_normal((600, 64))
+    m = np.concatenate([m, m[:300] + 0.3 * rng.standard_normal((300, 64))])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    n, least = linked(m)
+    assert vectors_of(spark, m) == [(i, n[i], least[i]) for i in range(len(m))]
+
+
+def test_orders_grow():
+    assert embeddings.orders_for(500) == embeddings.ORDERS < embeddings.orders_for(100_000) < embeddings.orders_for(1_000_000)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     assert {(r.node, r.comp) for r in components.components(links).collect()} == {(i, 0) for i in range(31)} | {(50, 50), (51, 50)}
