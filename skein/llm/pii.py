@@ -1,21 +1,26 @@
 """Operator 4, personal data by patterns and information-theoretic sanitisation, native.
 
 Base spans come from fixed patterns per kind. What each discloses is estimated from the corpus: a term that keeps
-standing next to a protected entity and hardly anywhere else reveals it even where the entity itself is masked. With
-document counts n(.) over N documents and distinct contexts c(.) of an entity e,
+standing in texts with a protected entity and hardly anywhere else reveals it even where the entity itself is masked.
+With document counts n(.) over N documents and distinct contexts c(.) of an entity e, a context being a whole text,
 
     IC(e) = log2(N / c(e))        PMI(e; t) = log2(c(e, t) N / (c(e) n(t)))
 
-a term t is disclosive for e if PMI(e; t) >= `disclosure` * IC(e), in at least `min_contexts` distinct contexts, so
-that copies of one passage count once. Its occurrences in e's contexts become spans of kind `term`. Masking puts a
-kind's name in place of base spans and generalises terms to [TERM].
+a term t is disclosive for e if PMI(e; t) >= `disclosure` * IC(e), in at least `min_contexts` distinct contexts. Texts
+that hold e between the same `CONTEXT_CHARS` characters on either side, everywhere they hold it, are one context, so
+that copies of one passage count once; the characters tell passages apart and bound nothing else. Words inside base
+spans are no terms. Every occurrence of t outside base spans, at any distance, in documents that hold e becomes a span
+of kind `term`. Masking puts a kind's name in place of base spans and generalises terms to [TERM].
+
+Since c(e, t) is at most c(e) and n(t), only entities with `min_contexts` contexts and words with min_contexts <= n(t)
+<= N ** (1 - disclosure) * c(e) ** disclosure can pass; no others are paired, which leaves out no term.
 
 Positions come from splitting at the pattern and adding lengths, in blocks, so a text with many spans costs little more
 than linear time. The patterns below are the stated ones with possessive repeats and a look behind at run starts, which
 find the same matches without retrying inside a run or deep recursion.
 
 Cases: a null text is empty and has no spans; a null identifier gets base spans but no terms; rows sharing an
-identifier share terms; an empty table gives no rows; extra columns are carried by `mask` and ignored by `find`.
+identifier and holding base spans share terms, each found in its own text; an empty table gives no rows; extra columns are carried by `mask` and ignored by `find`.
 """
 
 from __future__ import annotations
@@ -92,43 +97,60 @@ def with_base(docs: DataFrame, out: str = "_base") -> DataFrame:
     return docs.withColumn("_t", text).withColumn(out, F.concat(*[spans_of(F.col("_t"), k) for k in KINDS])).drop("_t")
 
 
-def neighbours(base: Column) -> Column:
-    """Words beside each span: entity, hash of the context, word (lower-cased), start, end."""
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def words(side: Column, at: Column, s: Column) -> Column:
-        return located(side, WORD, lambda m, start, left, right: F.struct(s["entity"].alias("entity"), F.xxhash64(s["left"], s["right"]).alias("context"), F.lower(m).alias("word"), (at + start).cast("int").alias("start"), (at + start + F.length(m)).cast("int").alias("end")))
 
-    return F.flatten(F.transform(base, lambda s: F.concat(words(s["left"], s["start"] - F.length(s["left"]), s), words(s["right"], s["end"], s))))
+def occurrences(text: Column, words: Column, base: Column) -> Column:
+    """Spans of kind `term`: where `words` stand in the text outside base spans. Null words are none."""
+    build = lambda m, start, left, right: F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(m)).cast("int").alias("end"), F.array_contains(words, F.lower(m)).alias("ok"))
+    hit = F.transform(F.filter(located(text, WORD, build), lambda t: t["ok"]), lambda t: t.dropFields("ok"))
+    free = F.filter(hit, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return F.when(words.isNotNull(), F.coalesce(free, none)).otherwise(none)
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """word, n: in how many documents each lower-cased word stands; partial sums come before the shuffle."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def disclosive(held: DataFrame, outside: DataFrame, docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """(entity, word) pairs over the threshold. held: id, entity, context; outside: id, text without its base spans."""
+    entity = held.groupBy("entity").agg(F.count_distinct("context").alias("c_e")).where(F.col("c_e") >= min_contexts)
+    total = F.broadcast(docs.agg(F.count("*").alias("total")))  # one row
+    asked = staged(held.join(entity, "entity").crossJoin(total).where("c_e < total").withColumn("most", F.pow("total", F.lit(1 - disclosure)) * F.pow("c_e", F.lit(disclosure)) * 1.001), "asked")
+    seldom = document_counts(docs).crossJoin(F.broadcast(asked.agg(F.max("most").alias("top")))).where((F.col("n") >= min_contexts) & (F.col("n") <= F.col("top"))).select("word", "n")  # one row
+    words = outside.join(asked.select("id").distinct(), "id", "left_semi").select("id", F.explode(words_of(F.col("text"))).alias("word")).join(seldom, "word")
+    met = asked.join(words, "id").where("n <= most").select("entity", "context", "word", "n", "c_e", "total").distinct()
+    pair = met.groupBy("entity", "word").agg(F.count("*").alias("c_et"), F.first("n").alias("n"), F.first("c_e").alias("c_e"), F.first("total").alias("total")).where(F.col("c_et") >= min_contexts)
+    pmi = F.log2(F.col("c_et") * F.col("total") / (F.col("c_e") * F.greatest("n", "c_et")))
+    return pair.where(pmi >= disclosure * F.log2(F.col("total") / F.col("c_e"))).select("entity", "word")
 
 
-def disclosive(near: DataFrame, docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(entity, word) pairs over the threshold. near: rows of entity, context, word."""
-    contexts = near.groupBy("entity", "context").agg(F.collect_set("word").alias("words"))  # at most a context's words
-    entity = contexts.groupBy("entity").agg(F.count("*").alias("c_e"))
-    pair = contexts.select("entity", F.explode("words").alias("word")).groupBy("entity", "word").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= min_contexts)
-    total = docs.agg(F.count("*").alias("total"))
-    pmi = F.log2(F.col("c_et") * F.col("total") / (F.col("c_e") * F.greatest("n", "c_et")))
-    return pair.join(entity, "entity").join(document_counts(docs), "word").crossJoin(F.broadcast(total)).where(F.col("c_e") < F.col("total")).where(pmi >= disclosure * F.log2(F.col("total") / F.col("c_e"))).select("entity", "word")  # total: one row
+def searched(docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, base and, where it holds spans, text of every row), (doc_id, words: its disclosive terms)."""
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
+    marks = F.transform("_base", lambda s: F.struct(s["entity"].alias("entity"), F.xxhash64(s["left"], s["right"]).alias("beside")))
+    found = staged(with_base(own).select(F.monotonically_increasing_id().alias("id"), "doc_id", F.when(F.size("_base") > 0, F.col("text")).alias("text"), plain.alias("base"), marks.alias("marks")), "spans")
+    marked = found.where(F.size("marks") > 0)
+    held = staged(marked.select("id", "doc_id", F.inline("marks")).groupBy("id", "doc_id", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("beside"))).alias("context")), "held")
+    outside = marked.select("id", masked(F.col("text"), F.col("base"), lambda kind: F.lit(" ")).alias("text"))
+    pairs = disclosive(held.select("id", "entity", "context"), outside, own, disclosure=disclosure, min_contexts=min_contexts)
+    terms = held.where("doc_id IS NOT NULL").join(pairs, "entity").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    return found.select("doc_id", "base", "text"), terms
 
 
 def find(docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """doc_id, base and terms (arrays of kind, start, end) of every row."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = staged(with_base(own).select("doc_id", F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("base"), neighbours(F.col("_base")).alias("near")), "spans")
-    near = found.where(F.size("near") > 0).select("doc_id", F.inline("near"))
-    pairs = disclosive(near.select("entity", "context", "word"), own, disclosure=disclosure, min_contexts=min_contexts)
-    terms = near.join(pairs, ["entity", "word"]).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    free = F.filter(F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.select("doc_id", "base").join(terms, "doc_id", "left").select("doc_id", "base", free.alias("terms"))
+    found, terms = searched(docs, disclosure=disclosure, min_contexts=min_contexts)
+    words = F.when(F.size("base") > 0, F.col("words"))
+    return found.join(terms, "doc_id", "left").select("doc_id", "base", occurrences(F.col("text"), words, F.col("base")).alias("terms"))
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: Column, spans: Column, name: Callable[[Column], Column] = lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))) -> Column:
     """`text` with each span replaced by its kind's name in brackets; overlapping spans become one, named after the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("back"), s["kind"])))
     kind = "struct<out:array<struct<kind:string,start:int,end:int,prev:int>>,reach:int>"
@@ -139,7 +161,7 @@ def masked(text: Column, spans: Column) -> Column:
 
     def render(m: Column) -> Column:
         # the gap before a span starts where the merged one before it ends
-        parts = F.transform(m["out"], lambda s: F.concat(F.substring(text, s["prev"] + 1, s["start"] - s["prev"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        parts = F.transform(m["out"], lambda s: F.concat(F.substring(text, s["prev"] + 1, s["start"] - s["prev"]), name(s["kind"])))
         return F.concat(F.array_join(parts, ""), F.substring(text, m["reach"] + 1, F.length(text)))
 
     zero = F.struct(F.array().cast("array<struct<kind:string,start:int,end:int,prev:int>>").alias("out"), F.lit(0).alias("reach")).cast(kind)
@@ -148,11 +170,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, **options) -> DataFrame:
     """`docs` with personal data in `text` masked. Texts are shuffled only where terms were found."""
-    terms = staged(find(docs, **options).where(F.size("terms") > 0).select("doc_id", "terms"), "terms").dropDuplicates(["doc_id"])
+    terms = staged(searched(docs, **options)[1], "terms")
     base = with_base(docs)
     plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    touched = kept_where(base, F.size("_base") > 0).join(terms, "doc_id", "left")
-    both = F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+    touched = kept_where(base, F.size("_base") > 0).join(terms.withColumnRenamed("words", "_words"), "doc_id", "left")
+    both = F.concat(plain, occurrences(F.col("text"), F.col("_words"), plain))
     changed = touched.withColumn("_spans", both).withColumn("text", masked(F.col("text"), F.col("_spans"))).select(*docs.columns)
     return kept_where(base, F.size("_base") == 0).select(*docs.columns).unionByName(changed)
 

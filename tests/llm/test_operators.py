@@ -162,6 +162,21 @@ def test_pii_terms(spark):
     assert not any(found[10 + i] for i in range(60))
 
 
+def test_pii_terms_at_any_distance(spark):
+    far = lambda i: " ".join(f"pad{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    texts = {i: f"Zebulon {far(i)} wrote zeb@home.org about {far(i)} and zebulon" for i in range(6)} | {10 + i: f"other plain{i} words{i} wrote about and with" for i in range(60)}
+    texts |= {20: "Zebulon alone", 30: "zeb@home.org once more and nothing near"}
+    rows = [(i, t) for i, t in texts.items()] + [(3, "ab@cd.ef with Zebulon")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, len(r.base), tuple(t.end - t.start for t in r.terms)) for r in pii.find(docs_).collect() if r.terms)
+    assert found == sorted([(i, 1, (7, 7)) for i in range(6)] + [(3, 1, (7,))])
+    out = Counter((r.doc_id, r.text) for r in pii.mask(docs_).collect())
+    gone = lambda i: texts[i].replace("zeb@home.org", "[EMAIL]").replace("Zebulon", "[TERM]").replace("zebulon", "[TERM]")
+    assert out == Counter([(i, gone(i) if i < 6 or i == 30 else t) for i, t in texts.items()] + [(3, "[EMAIL] with [TERM]")])
+    copies = spark.createDataFrame([(i, "Zebulon zeb@home.org") for i in range(6)] + rows[6:66], docs_.schema)
+    assert not any(r.terms for r in pii.find(copies).collect())
+
+
 def test_licenses(spark, docs):
     text = "Intro.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0. More words"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "no licence to drive"), (4, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.")], "doc_id long, text string")
