@@ -20,7 +20,8 @@ that returns only links enough to join what it found. So no link between compone
 group's pairs are ever rows. Every pair is verified on the texts' exact multisets.
 
 Cases: null, empty and wordless texts link with nothing; a null identifier is returned as a class of its own and takes
-part in none; rows sharing an identifier are each classed by their own text; extra columns are carried by `first_of_each`.
+part in none; rows sharing an identifier are each classed, and kept or removed, by their own text, which a hash of it
+tells apart; extra columns are carried by `first_of_each`.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the words in order; null without words), bands."""
+    """doc_id, digest (hash of the text), node (hash of the words in order; null without words), bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -166,9 +167,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     band = mix(band * U(0x9E3779B97F4A7C15) + sign[:, :, k])
             node = [int(np.uint64(xxhash.xxh3_64_intdigest(" ".join(w), seed=11)).astype(np.int64)) if w else None for w in rows]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(band).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), lists], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node, pa.int64()), lists], ["doc_id", "digest", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, node long, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(work, "doc_id long, digest long, node long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -270,7 +272,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of docs: doc_id, node, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
+    """A row for each row of docs: doc_id, digest, node, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
     bound_batches(docs.sparkSession)
     sketched = staged(sketches(docs), "sketches")
     nodes = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -281,8 +283,8 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     members = staged(rows.join(crowded, "bucket"), "members")
     first = staged(ordered(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "pairs")
     asked = members.select("node").distinct()
-    one = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(one.withColumnRenamed("node", "own"), "doc_id").select(F.col("own").alias("node"), "text", F.length("text").alias("chars")).dropDuplicates(["node"]), "texts")
+    one = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one")).select(F.col("node").alias("own"), "one.*")
+    texts = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("digest")).join(one, ["doc_id", "digest"]).select(F.col("own").alias("node"), "text", F.length("text").alias("chars")).dropDuplicates(["node"]), "texts")
     links = staged(verified(first, texts, threshold), "found")
     tested = first
     for last in (False, True):
@@ -315,14 +317,14 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     answer = of_node.join(smallest, "comp").select("node", "class_id")
     key = F.coalesce("node", F.xxhash64("doc_id"))  # spreads wordless rows, which match nothing
     unstage(texts)
-    out = sketched.select("doc_id", "node").withColumn("_key", key).join(answer.select(F.col("node").alias("_key"), F.col("class_id").alias("found")), "_key", "left")
-    return out.select("doc_id", "node", F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id")).alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    out = sketched.select("doc_id", "digest", "node").withColumn("_key", key).join(answer.select(F.col("node").alias("_key"), F.col("class_id").alias("found")), "_key", "left")
+    return out.select("doc_id", "digest", "node", F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id")).alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def first_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the rows that `classes` does not keep. Repeated rows of a kept identifier stay."""
-    gone = classes(docs, threshold=threshold).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """`docs` without the rows that `classes` does not keep. Repeated rows of a kept identifier and text stay."""
+    gone = classes(docs, threshold=threshold).where("NOT kept").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    return docs.withColumn("_digest", F.xxhash64(F.col("text").cast("string"))).join(gone, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

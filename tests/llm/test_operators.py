@@ -255,6 +255,16 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_unlike_texts_of_one_identifier(spark):
+    base = [" ".join(f"t{k}w{i}" for i in range(80)) for k in range(12)]
+    near = lambda k: base[k].replace(f"t{k}w40", "changed")
+    rows = [(k, base[k]) for k in range(12)] + [(100, near(k)) for k in range(12)] + [(100, "a text of its own that nothing else is like")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r.doc_id, r.class_id) for r in neardup.classes(docs_).collect())
+    assert out == Counter([(k, k) for k in range(12)] + [(100, k) for k in range(12)] + [(100, 100)])
+    assert Counter(map(tuple, neardup.first_of_each(docs_).collect())) == Counter(rows[:12] + rows[-1:])
+
+
 def test_bag_minhash_estimates():
     rng = np.random.default_rng(5)
     shingle = rng.integers(0, 1 << 63, 400).astype(np.uint64)
