@@ -12,8 +12,11 @@ A shard holds the documents of one range of identifiers, ascending. Its layout,
 
 `lookup` reads the footer, the filter and the index, searches the index by bisection and reads one block.
 
-Cases: a null text is empty; rows with a null identifier are left out, having no key; rows that share an identifier
-all stay, ordered by their ids; an empty table makes no shards; other columns are not stored.
+Rows with a null identifier are in shards of their own after all others, dealt by their ids, with NULL_MAGIC in the
+footer and an identifier of 0 in place of the missing one; readers give it back as null, and `lookup` of None finds them.
+
+Cases: a null text is empty; a null identifier is carried; rows that share an identifier all stay, ordered by their
+ids; an empty table makes no shards; other columns are not stored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-MAGIC = b"SKEINSST"
+MAGIC, NULL_MAGIC = b"SKEINSST", b"SKEINNUL"
 FOOTER = struct.Struct("<QQQQIQQI8s")
 INDEX = np.dtype([("key", ">u8"), ("offset", "<u8"), ("size", "<u4"), ("entries", "<u4"), ("before", "<u8")])
 
@@ -79,16 +82,16 @@ def bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
 class Writer:
     """Appends ascending documents to a binary stream; one block is held in memory."""
 
-    def __init__(self, out, width: int):
-        self.out, self.width, self.at = out, width, 0
+    def __init__(self, out, width: int, null: bool = False):
+        self.out, self.width, self.null, self.at = out, width, null, 0
         self.block, self.entries, self.last, self.first = bytearray(), 0, b"", b""
         self.index: list[tuple] = []
         self.keys: list[int] = []
         self.ids = self.before = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        """`ids`: packed at the shard's width."""
-        key = to_key(doc_id)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """`ids`: packed at the shard's width. A shard's identifiers are all null or none is."""
+        key = to_key(0 if self.null else doc_id)
         if not self.entries:
             self.first, self.last, self.before = key, b"", self.ids
         shared = 0
@@ -116,7 +119,7 @@ class Writer:
         filter_ = np.zeros(bits, np.uint8)
         filter_[bloom_places(np.array(self.keys, np.uint64), bits).ravel()] = 1
         bloom = np.packbits(filter_).tobytes()
-        self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), bits, BLOOM_PROBES, len(self.keys), self.ids, self.width, MAGIC))
+        self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), bits, BLOOM_PROBES, len(self.keys), self.ids, self.width, NULL_MAGIC if self.null else MAGIC))
 
 
 class Reader:
@@ -127,8 +130,9 @@ class Reader:
         size = self.file.size()
         raw = self.read(size - FOOTER.size, FOOTER.size)
         index_at, index_size, bloom_at, self.bits, _, self.documents, self.ids, self.width, magic = FOOTER.unpack(raw)
-        if magic != MAGIC:
+        if magic not in (MAGIC, NULL_MAGIC):
             raise ValueError(f"{path} is no shard")
+        self.null = magic == NULL_MAGIC
         self.index = np.frombuffer(self.read(index_at, index_size), INDEX)
         self.firsts = self.index["key"].tolist()
         self.bloom = np.unpackbits(np.frombuffer(self.read(bloom_at, -(-self.bits // 8)), np.uint8))
@@ -137,7 +141,7 @@ class Reader:
         self.file.seek(at)
         return self.file.read(n)
 
-    def block(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    def block(self, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
         """The block's documents with their ids."""
         row = self.index[k]
         data, at, key = zlib.decompress(self.read(int(row["offset"]), int(row["size"]))), 0, b""
@@ -147,15 +151,17 @@ class Reader:
             rest, at = read_varint(data, at)
             key = key[:shared] + data[at : at + rest]
             n, at = read_varint(data, at + rest)
-            yield from_key(key), np.frombuffer(data, kind, n, at)
+            yield None if self.null else from_key(key), np.frombuffer(data, kind, n, at)
             at += n * self.width
 
-    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+    def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.index)):
             yield from self.block(k)
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every row with this identifier."""
+        if self.null or doc_id is None:
+            return [ids for _, ids in self] if self.null and doc_id is None else []
         key = int.from_bytes(to_key(doc_id), "big")
         if not self.bloom[bloom_places(np.array([key], np.uint64), self.bits)].all():
             return []
@@ -188,8 +194,9 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
     """
     spark = docs.sparkSession
     path, shards = path or tokenizer_path(VOCABULARY), shards or shuffle_width(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    found = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000)).first()[0]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found, rows, known = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000), F.count("*"), F.count("doc_id")).first()
+    without = -(-shards * (rows - known) // rows) if rows else 0  # shards of null identifiers
     bounds = np.array(sorted(set(found or [])), np.int64)
     width = 2 if load(path).get_vocab_size() <= 1 << 16 else 4
 
@@ -198,12 +205,14 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
         kind = f"<u{width}"
         end = np.array([end_id], kind).tobytes()
         for b in sized(batches, 1):
-            at = np.searchsorted(bounds, b.column(0).to_numpy(), side="right").astype(np.int32)
+            at = np.searchsorted(bounds, b.column(0).fill_null(0).to_numpy(), side="right").astype(np.int32)
             ids = [x.astype(kind).tobytes() + end for x in encoder.encode_array(b.column(1))]
+            for k in np.flatnonzero(b.column(0).is_null().to_numpy(zero_copy_only=False)):
+                at[k] = len(bounds) + 1 + zlib.crc32(ids[k]) % without
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     coded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "ids")
+    dealt = coded.repartitionById(len(bounds) + 1 + without, F.col("shard")).sortWithinPartitions("doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,7 +225,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
                 if writer is None:
                     own, name = f"{at}/_{shard:06d}-{TaskContext.get().taskAttemptId()}", f"{at}/{shard:06d}.sst"
                     stream = system.open_output_stream(own)
-                    writer = Writer(stream, width)
+                    writer = Writer(stream, width, doc_id is None)
                 writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
@@ -252,7 +261,7 @@ def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "path string, start long").repartition(len(rows)).mapInArrow(read, schema)
 
 
-def lookup(shards: list[dict], doc_id: int) -> list[np.ndarray]:
+def lookup(shards: list[dict], doc_id: int | None) -> list[np.ndarray]:
     """The ids of a document, by its identifier."""
     return [ids for s in shards for ids in Reader(s["path"]).get(doc_id)]
 

@@ -246,6 +246,21 @@ def test_shards(spark, docs, empty):
     assert sstable.written_and_read(empty).count() == 0
 
 
+def test_shards_of_null_identifiers(spark, docs, empty):
+    texts = [f"without identifier {i}" for i in range(20)] + [None]
+    every = docs.unionByName(spark.createDataFrame([(None, t, "") for t in texts], docs.schema))
+    shards = sstable.write_shards(every, shared_dir(spark, "t"), shards=3)
+    tok, rows = load(tokenizer_path(sstable.VOCABULARY)), sstable.read_shards(spark, shards).collect()
+    coded = lambda t: tok.encode(t or "", add_special_tokens=False).ids + [0]
+    print_ = lambda ids: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert Counter((r.n_tokens, r.ids_crc32) for r in rows if r.doc_id is None) == Counter(print_(coded(t)) for t in texts)
+    assert sum(r.n_tokens for r in rows) == sum(len(coded(t)) for t in [*TEXTS, "Hello, world.", *texts]) and len(rows) == every.count()
+    starts = sorted((r.start, r.n_tokens) for r in rows)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    assert sorted(x.tolist() for x in sstable.lookup(shards, None)) == sorted(map(coded, texts)) and not sstable.lookup(shards, 99) and len(sstable.lookup(shards, 0)) == 1
+    assert sstable.written_and_read(every.where("doc_id IS NULL")).count() == len(texts)
+
+
 def test_near_duplicates(spark, docs, empty):
     base = [f"term{i}" for i in range(160)]
     edit = lambda k: " ".join(w if i != 12 * k else "changed" for i, w in enumerate(base))
