@@ -7,7 +7,8 @@ multiset of lengths that fits a sequence) so that every piece is covered by as f
 
     solve      multiplicative weights: each round prices lengths by how far they still are from being covered, finds
                the best configuration for these prices by a knapsack dynamic program, and uses it for a step. Lengths
-               are grouped into `grid` classes for this, each standing for its largest length.
+               are grouped into `grid` classes for this, each standing for its largest length. Where the class width does
+               not divide the capacity, the last class reaches up to it: such a piece stands alone in the program.
     round_up   takes whole multiples of the configurations, largest fill first, puts the longest remaining lengths into
                their slots, fills what is left of each sequence by best fit, and packs the remainder by the same rule.
 
@@ -135,7 +136,7 @@ def round_up(counts: np.ndarray, configs: dict[tuple[int, ...], float], unit: in
         while left > 0:
             items: dict[int, int] = {}
             for k in np.flatnonzero(config)[::-1].tolist():
-                need, top = config[k], (k + 1) * unit
+                need, top = config[k], capacity if k == len(config) - 1 else (k + 1) * unit
                 while need and (size := stock.longest(top, k * unit + 1)):
                     n = min(need, int(stock.counts[size]))
                     items[size], need, top = n, need - n, size - 1
@@ -154,10 +155,8 @@ def pack_lengths(counts: np.ndarray, grid: int = GRID, rounds: int = ROUNDS) ->
     """counts: pieces by length, from 0 to the capacity. Returns (((length, how many), ...), how often) rows."""
     capacity = len(counts) - 1
     unit = -(-capacity // grid)
-    demand = np.zeros(-(-capacity // unit))
-    np.add.at(demand, (np.arange(1, capacity + 1) - 1) // unit, counts[1:])
-    if capacity % unit:  # classes must not promise more than fits
-        return round_up(counts, {}, unit)
+    demand = np.zeros(capacity // unit)  # classes must not promise more than fits
+    np.add.at(demand, np.minimum((np.arange(1, capacity + 1) - 1) // unit, len(demand) - 1), counts[1:])
     return round_up(counts, solve(demand, rounds), unit)
 
 

@@ -68,6 +68,21 @@ def test_pack_lengths():
     assert sum(t for _, t in packed) <= 1.02 * (counts * np.arange(4097)).sum() / 4096
 
 
+@pytest.mark.parametrize("capacity", [1000, 1021, 129, 7])
+def test_pack_lengths_at_any_capacity(capacity, monkeypatch):
+    asked, true = [], packing.solve
+    monkeypatch.setattr(packing, "solve", lambda *a: asked.append(1) or true(*a))
+    counts = np.bincount(np.random.default_rng(4).integers(1, capacity + 1, 2000), minlength=capacity + 1)
+    packed = packing.pack_lengths(counts)
+    total = np.zeros(capacity + 1, int)
+    for items, times in packed:
+        assert sum(s * n for s, n in items) <= capacity
+        for s, n in items:
+            total[s] += n * times
+    assert asked and (total == counts).all()
+    assert sum(t for _, t in packed) <= 1.05 * (counts * np.arange(capacity + 1)).sum() / capacity + 1
+
+
 def test_lines(docs, empty):
     out = {(r.doc_id, r.text): r for r in lines.dedup_lines(docs, shard_keys=1).collect()}
     assert {k[0]: r.n_dropped for k, r in out.items() if r.n_dropped} == {7: 1, 8: 1}
