@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -21,10 +22,13 @@ BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 <<
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder (as a URI) in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent, as in tests on one machine, a temporary folder stands in for it.
+    Where the setting is absent on one machine, as in tests, a temporary folder stands in for it; on a cluster, whose
+    executors do not share such a folder, that is an error.
     """
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not base:
+        if not re.match(r"local(\[[^,\]]*(,[^,\]]*)?\])?$", spark.sparkContext.master):
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set(SETTING, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -52,10 +56,54 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Staged tables of one operator; those that no later job reads are deleted together."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for df in self.tables:
+            unstage(df)
+        self.tables.clear()
+
+
+def sound_key(df: DataFrame, key: str, check: str) -> Column:
+    """The 64-bit hash `key` told apart by another one, `check`: rows alike in both get one value, all others different ones.
+
+    Of n values, about n ** 2 / 2 ** 65 share a key without being alike (70 of 5e10). Those, and only those, come to the
+    driver, and get a key made from both hashes.
+    """
+    shared = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(check).alias("low"), F.max(check).alias("high")).where("low <> high").select(key)
+    shared = [r[0] for r in shared.collect()]
+    return F.when(F.col(key).isin(shared), F.xxhash64(F.lit(1), key, check)).otherwise(F.col(key)) if shared else F.col(key)
+
+
+def carrying(docs: DataFrame, work: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """work(docs) with all columns but `key` and `text` packed into one, `_carried`, while it runs, so that no name of theirs
+    clashes with one of its own. Columns that `work` adds replace carried ones of the same name; others come back in place."""
+    rest = [c for c in docs.columns if c not in (key, text)]
+    own = [F.col(key), F.col(text)]
+    out = work(docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carried")) if rest else docs)
+    new = [c for c in out.columns if c not in (key, text, "_carried")]
+    taken = {c.lower() for c in new}
+    back = [F.col(c) if c in (key, text) else F.col("_carried").getField(c).alias(c) for c in docs.columns if c.lower() not in taken]
+    return out.select(*back, *[F.col(f"`{c}`") for c in new])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def width_for(spark: SparkSession, size: int, most: int) -> int:
+    """Partitions for `size` bytes at `most` each, the session's number at least."""
+    return max(shuffle_width(spark), -(-size // most))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Binds an expression to a lambda variable, so that it is computed once a row however often `body` names it."""
     return F.transform(F.array(value), body)[0]

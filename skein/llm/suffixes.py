@@ -2,24 +2,33 @@
 
 Every byte covered by a `length`-byte string that also starts anywhere else is removed. Sorting all suffixes moves many
 times the corpus; this is a sparse suffix array that loses none of them. Each window of `length` bytes picks, among the
-`GRAM`-byte strings inside it, the leftmost with the smallest hash, its anchor. The choice depends on the window's bytes
-alone, so equal windows share an anchor, and windows of one document with one anchor form a run. A run stands for the
-suffix that starts at its first window, and its tokens are its anchor's hash (standing for its leading bytes), the hash
-of all bytes its windows cover, the row and the place.
+strings of `length - choices + 1` bytes inside it, the leftmost with the smallest hash, its anchor. The choice depends on
+the window's bytes alone, so equal windows share an anchor, and windows of one document with one anchor form a run. A run
+stands for the suffix that starts at its first window, and its tokens are its anchor's hash (standing for its leading
+bytes), the hash of all bytes its windows cover, the row and the place.
 
     deal      splitters sampled from documents cut the order of suffixes into ranges, one a partition. They are whole
-              token tuples, so even one very common suffix is cut in the middle.
+              token tuples, so even one very common suffix is cut in the middle. Their number follows the corpus's bytes.
     sort      a partition sorts its suffixes by multikey quicksort: three-way by one token, then by the next.
     compare   neighbours with the same first two tokens are equal runs: all their windows recur. Runs that share just
               the anchor may agree in part; they, and all runs in a partition's first and last anchor, which may go
               on beyond it, are compared window by window: equal windows are counted across all partitions.
 
-Runs of unlike anchors share no window. A partition holds about 1/n of all runs, about one for 33 bytes of text, at 29
-bytes each; texts are read once for runs, once for the windows in question and once to cut.
+Runs of unlike anchors share no window. A partition holds about one run of 29 bytes for 33 bytes of text, of which it
+gets `PART_BYTES` at most.
 
-Equality is of 128 bits of hash (the two tokens, or two independent window hashes). Cases: a null or empty text has no
-bytes; rows sharing an identifier are separate documents, so two equal rows of `length` bytes lose everything; a null
-identifier is carried; an empty table gives no rows; extra columns are carried by `cut_repeats`.
+Passages. A second, shorter length may be asked for, whose repeats are measured and not removed. A maximal run of them with
+more than `PASSAGE_WORDS` whole words is a passage (`PASSAGE` is 200 bytes, which hardly any fifty words fall short of).
+The short repeats are found first, and the long ones only within them: a string recurs only where all shorter ones inside
+it do, so the second search reads just stretches of repeated short windows.
+
+Equality is of 128 bits of hash (the two tokens, or two window hashes). Hashes are prefix sums over scrambled 8-byte
+strings, so that no pattern of bytes adds up to the same sum by its structure. Rows are told apart by 128 bits.
+
+Cases: a null or empty text, and one shorter than `length`, loses nothing; a very long text is handled in blocks of windows
+and held by one task; rows sharing an identifier are separate documents, so two equal rows of `length` bytes lose
+everything; ties between equal anchors go to the leftmost; a null identifier is carried; an empty table gives no rows;
+extra columns are carried by `cut_repeats` whatever their names, except that its own results replace such names.
 """
 
 from __future__ import annotations
@@ -27,7 +36,6 @@ from __future__ import annotations
 import gc
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,43 +43,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_width, small, staged, table
+from .common import Scratch, carrying, small, sound_key, staged, table, unstage, width_for
 from .neardup import mix
 
 LENGTH, CHOICES = 400, 65
+PASSAGE, PASSAGE_WORDS = 200, 50
 SAMPLE_RUNS = 200_000
-BLOCK = 1 << 20
+PART_BYTES = 64 << 20
+BLOCK, UNIT = 1 << 20, 8
 U = np.uint64
 RUN = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("row", "<i8"), ("start", "<u4"), ("n", "u1")])
-INVERSE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers can be divided out
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers can be divided out
+REGIONS = "array<struct<start:int,end:int>>"
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return np.random.default_rng(10).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-@lru_cache(maxsize=2)
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base modulo 2^64 and of its inverse, n of them."""
-    base = INVERSE[which]
-    back = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([[U(1)], np.cumprod(np.full(n - 1, b, U), dtype=U)]) for b in (base, back))
+    """Powers of a base modulo 2^64 and of its inverse, n of them at least."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        size, base = 1 << max(15, (n - 1).bit_length()), BASES[which]
+        back = pow(base, -1, 1 << 64)
+        with np.errstate(over="ignore"):
+            _POWERS[which] = tuple(np.concatenate([[U(1)], np.cumprod(np.full(size - 1, b, U), dtype=U)]) for b in (base, back))
+    return _POWERS[which]
 
 
 class Prefix:
-    """Hashes of any substring of a text in constant time each, from sums of byte values times powers."""
+    """Hashes of any substring of `UNIT` bytes or more in constant time each, from sums over its 8-byte strings, each
+    scrambled, times powers."""
 
     def __init__(self, data: np.ndarray, which: int):
-        size = 1 << max(12, int(len(data)).bit_length())
-        forth, self.back = powers(which, size)
+        n = max(0, len(data) - UNIT + 1)
+        forth, self.back = powers(which, len(data) + 1)
+        units = np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(U) if n else np.zeros(0, U)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[U(0)], np.cumsum(byte_values()[which][data] * forth[: len(data)], dtype=U)])
+            self.sums = np.concatenate([[U(0)], np.cumsum(mix(units + U(BASES[1 - which])) * forth[:n], dtype=U)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+            return mix((self.sums[end - (UNIT - 1)] - self.sums[start]) * self.back[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def run_tokens(data: np.ndarray, row: int, length: int = LENGTH, choices: int = CHOICES) -> np.ndarray:
@@ -102,6 +114,17 @@ def run_tokens(data: np.ndarray, row: int, length: int = LENGTH, choices: int =
     return np.concatenate(out)
 
 
+def region_runs(text: str | None, regions: list[dict] | None, row: int, length: int, choices: int) -> np.ndarray:
+    """Runs of a text's regions, or of all of it where regions are null."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    out = []
+    for low, high in [(0, len(data))] if regions is None else [(r["start"], r["end"]) for r in regions]:
+        runs = run_tokens(data[low:high], row, length, choices)
+        runs["start"] += low
+        out.append(runs)
+    return np.concatenate(out) if out else np.zeros(0, RUN)
+
+
 def part_of(runs: np.ndarray, splitters: list[tuple]) -> np.ndarray:
     """Which range each run is in."""
     leads = np.array([s[0] for s in splitters], U)
@@ -149,33 +172,36 @@ def compare(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs[repeated], runs[speaks], np.where(repeated[speaks], 2, 1).astype(np.uint8)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.withColumns({"_row": F.xxhash64(F.col("doc_id").cast("long"), text), "_check": F.xxhash64(text, F.col("doc_id").cast("long"))})
 
 
-def row_splitters(docs: DataFrame, parts: int, length: int, choices: int) -> list[tuple]:
+def row_splitters(docs: DataFrame, rows: int, parts: int, length: int, choices: int) -> list[tuple]:
     """Token tuples that cut a sample of suffixes evenly. They decide balance alone, never results."""
-    n = docs.count()
-    share = min(1.0, max(200.0, parts * 8.0) / max(n, 1))
+    share = min(1.0, max(200.0, parts * 8.0) / max(rows, 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                runs = run_tokens(np.frombuffer((text or "").encode(), np.uint8), row, length, choices)
+            for row, text, regions in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                runs = region_runs(text, regions, row, length, choices)
                 runs = runs[:: max(1, len(runs) // 64)]
-                yield pa.RecordBatch.from_arrays([pa.array(runs[c].astype(np.int64 if c != "start" else np.int64)) for c in ("anchor", "body", "row", "start")], ["anchor", "body", "row", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(runs[c].astype(np.int64)) for c in ("anchor", "body", "row", "start")], ["anchor", "body", "row", "start"])
 
-    found = keyed(docs.sample(share, seed=3)).select("_row", F.col("text").cast("string")).mapInArrow(work, "anchor long, body long, row long, start long").limit(SAMPLE_RUNS).collect()
+    found = docs.sample(share, seed=3).mapInArrow(work, "anchor long, body long, row long, start long").limit(SAMPLE_RUNS).collect()
     unsigned = lambda x: x & (1 << 64) - 1
     tuples = sorted((unsigned(r[0]), unsigned(r[1]), r[2], r[3]) for r in found)
     return sorted({tuples[k * len(tuples) // parts] for k in range(1, parts)}) if tuples else []
 
 
-def repeated_windows(docs: DataFrame, *, length: int = LENGTH, choices: int = CHOICES) -> DataFrame:
-    """_row, start, n: runs of window starts whose windows occur elsewhere too. docs: doc_id, text."""
-    spark = docs.sparkSession
-    parts = shuffle_width(spark)
-    splitters = row_splitters(docs, parts, length, choices)
+def repeated_windows(docs: DataFrame, rows: int, size: int, *, length: int = LENGTH, choices: int = CHOICES) -> DataFrame:
+    """_row, start, n: runs of window starts whose windows occur elsewhere too, as a staged table. docs: _row, text,
+    regions (of bytes that count; null for all); about `rows` of them with `size` bytes."""
+    if length - choices + 1 < UNIT:
+        raise ValueError(f"the length must be {UNIT - 1} above the choices at least")
+    spark, scratch = docs.sparkSession, Scratch()
+    docs = docs.select("_row", "text", "regions")
+    splitters = row_splitters(docs, rows, width_for(spark, size, PART_BYTES), length, choices)
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -189,8 +215,8 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, choices: int = CH
             return pa.RecordBatch.from_arrays([pa.array(part[order][[0, *cut]].astype(np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], ["part", "runs"])
 
         for b in small(batches):
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text and len(runs := run_tokens(np.frombuffer(text.encode(), np.uint8), row, length, choices)):
+            for row, text, regions in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if text and len(runs := region_runs(text, regions, row, length, choices)):
                     held.append(runs)
                     size += len(runs)
             if size > 300_000:
@@ -200,7 +226,7 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, choices: int = CH
         if held:
             yield dealt()
 
-    dealt = keyed(docs).select("_row", F.col("text").cast("string")).mapInArrow(runs_of, "part int, runs binary").repartitionById(len(splitters) + 1, F.col("part"))
+    dealt = docs.mapInArrow(runs_of, "part int, runs binary").repartitionById(len(splitters) + 1, F.col("part"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [np.frombuffer(x.as_buffer(), RUN) for b in batches for x in b.column(1)]
@@ -215,27 +241,28 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, choices: int = CH
                 x = found[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array(x["start"].astype(np.int32)), pa.array(x["n"].astype(np.int32)), pa.array(w[at : at + 50_000].astype(np.int32))], ["_row", "start", "n", "weight"])
 
-    compared = staged(dealt.mapInArrow(sort, "_row long, start int, n int, weight int"), "runs")
+    compared = scratch(dealt.mapInArrow(sort, "_row long, start int, n int, weight int"), "runs")
     release(spark)
     whole = compared.where("weight = 0").select("_row", "start", "n")
     asked = compared.where("weight > 0").groupBy("_row").agg(F.collect_list(F.struct("start", "n", "weight")).alias("asked"))  # runs of one text
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            for row, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for row, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 start = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
                 weight = np.concatenate([np.full(r["n"], r["weight"]) for r in runs])
                 one, two = (Prefix(data, k).of(start, start + length).view(np.int64) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32)), pa.array(weight.astype(np.int32))], ["one", "two", "_row", "start", "weight"])
 
-    texts = keyed(docs).select("_row", F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    explicit = staged(texts.join(asked, "_row").select("_row", "text", "asked").mapInArrow(windows, "one long, two long, _row long, start int, weight int"), "windows")
+    explicit = scratch(docs.select("_row", "text").where(F.length("text") > 0).join(asked, "_row").select("_row", "text", "asked").mapInArrow(windows, "one long, two long, _row long, start int, weight int"), "windows")
     release(spark)
     again = explicit.groupBy("one", "two").agg(F.sum("weight").alias("total")).where("total > 1").select("one", "two")
-    open_ = explicit.where("weight = 1")
-    hits = open_.join(again, ["one", "two"]).select("_row", "start", F.lit(1).alias("n"))
-    return whole.unionByName(hits)
+    hits = explicit.where("weight = 1").join(again, ["one", "two"]).select("_row", "start", F.lit(1).alias("n"))
+    found = staged(whole.unionByName(hits), "repeats")
+    scratch.clear()
+    release(spark)
+    return found
 
 
 def release(spark: SparkSession) -> None:
@@ -255,12 +282,39 @@ def merged(runs: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_repeats(docs: DataFrame, *, length: int = LENGTH, choices: int = CHOICES) -> DataFrame:
-    """`docs` without `text` and with kept (binary: the remaining bytes), n_bytes, n_removed, n_spans."""
-    found = repeated_windows(docs.select("doc_id", "text"), length=length, choices=choices).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))  # runs of one text
-    carried = [f for f in docs.schema.fields if f.name not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([*carried, T.StructField("kept", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans"))])
-    joined = keyed(docs).join(found, "_row", "left").select(*[F.col(f"`{f.name}`") for f in carried], F.col("text").cast("string").alias("text"), "_runs")
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words between white space that stand wholly in data[start:end]."""
+    n = len(data[start:end].split())
+    cut = lambda at: 0 < at < len(data) and not data[at - 1 : at].isspace() and not data[at : at + 1].isspace()
+    return max(0, n - cut(start) - cut(end))
+
+
+def stretches(runs: list[dict], short: int, length: int) -> list[dict]:
+    """Regions of at least `length` bytes in which every `short`-byte string recurs."""
+    return [{"start": a, "end": b - 1 + short} for a, b in merged(runs, 1) if b - 1 + short - a >= length]
+
+
+def runs_by_row(found: DataFrame) -> DataFrame:
+    return found.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))  # runs of one text
+
+
+def cut_repeats(docs: DataFrame, *, length: int = LENGTH, choices: int = CHOICES, passage: int | None = None) -> DataFrame:
+    """`docs` without `text` and with kept (binary: the remaining bytes), n_bytes, n_removed, n_spans. With `passage`, a
+    length below `length`, also n_passage_bytes and n_passages: bytes in passages, and how many there are."""
+    return carrying(docs, lambda own: _cut(own, length, choices, passage)).drop("text")
+
+
+def _cut(docs: DataFrame, length: int, choices: int, passage: int | None) -> DataFrame:
+    if passage is not None and not passage < length:
+        raise ValueError("the passage length must be below the length")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    keys = hashed(docs).agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rows, size = keys[0], keys[1] or 0
+    row = sound_key(hashed(docs.select("doc_id", "text")).select("_row", "_check"), "_row", "_check")
+    docs = hashed(docs).withColumn("_row", row).drop("_check")
+    new = {"kept": T.BinaryType()} | {n: T.LongType() for n in ("n_bytes", "n_removed", "n_spans", *(("n_passage_bytes", "n_passages") if passage else ()))}
+    carried = [f for f in docs.schema.fields if f.name not in ("text", "_row")]
+    everywhere = F.lit(None).cast(REGIONS).alias("regions")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(carried)
@@ -273,11 +327,41 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, choices: int = CHOICES
                 sizes.append(len(data))
                 spans_of.append(len(spans))
             gone = [n - len(x) for n, x in zip(sizes, kept, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans_of))], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.nulls(b.num_rows, pa.string()), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans_of)), *b.columns[k + 2 :]], names)
+
+    names = [*(f.name for f in carried), "text", *new]
+    schema = T.StructType([*carried, T.StructField("text", T.StringType()), *(T.StructField(n, t) for n, t in new.items())])
+    own = [F.col(f.name) for f in carried]
+    if passage is None:
+        found = repeated_windows(docs.withColumn("regions", everywhere), rows, size, length=length, choices=choices)
+        return docs.join(runs_by_row(found), "_row", "left").select(*own, "text", "_runs").mapInArrow(cut, schema)
 
-    return joined.mapInArrow(cut, schema)
+    first = repeated_windows(docs.withColumn("regions", everywhere), rows, size, length=passage, choices=choices)
+    joined = docs.join(runs_by_row(first), "_row", "left").select(*own, "text", "_row", "_runs")
+    met = T.StructType([*joined.schema.fields[:-1], T.StructField("n_passage_bytes", T.LongType()), T.StructField("n_passages", T.LongType()), T.StructField("regions", T.DataType.fromDDL(REGIONS))])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(carried) + 2
+        for b in small(batches):
+            runs, texts = [r or [] for r in b.column(k).to_pylist()], b.column(k - 2).to_pylist()
+            spans = [merged(r, passage) for r in runs]
+            spans = [[(s, e) for s, e in x if whole_words(data, s, e) > PASSAGE_WORDS] if x and (data := t.encode()) else [] for t, x in zip(texts, spans, strict=True)]
+            regions = [stretches(r, passage, length) or None for r in runs]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(regions, kind)], [f.name for f in met.fields])
+
+    measured = staged(joined.mapInArrow(measure, met), "measured")  # the result reads it
+    unstage(first)
+    release(docs.sparkSession)
+    long_ = measured.where("regions IS NOT NULL")
+    inside = long_.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    second = repeated_windows(long_, inside[0], inside[1] or 0, length=length, choices=choices)
+    passages = ["n_passage_bytes", "n_passages"]
+    none = F.lit(None).cast("array<struct<start:int,n:int>>").alias("_runs")
+    plain = measured.where("regions IS NULL").select(*own, "text", none, *passages)
+    return plain.unionByName(long_.join(runs_by_row(second), "_row", "left").select(*own, "text", "_runs", *passages)).mapInArrow(cut, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut_repeats(docs, passage=PASSAGE).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes", "n_passages")

@@ -362,6 +362,46 @@ def test_suffixes(spark, docs, empty, length, choices):
         true[(i, bytes(np.frombuffer(t, np.uint8)[~gone]), int(gone.sum()))] += 1
     assert Counter((r.doc_id, bytes(r.kept), r.n_removed) for r in suffixes.cut_repeats(every, length=length, choices=choices).collect()) == true
     assert suffixes.cut_repeats(empty).count() == 0
+    assert suffixes.cut_repeats(empty, passage=240).count() == 0
+
+
+def covered(texts, length):
+    seen = Counter(t[s : s + length] for _, t in texts for s in range(len(t) - length + 1))
+    for i, t in texts:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - length + 1):
+            if seen[t[s : s + length]] > 1:
+                gone[s : s + length] = True
+        yield i, t, gone
+
+
+def test_suffix_passages(spark, docs):
+    rng = np.random.default_rng(5)
+    filler = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    spaced = lambda n: " ".join(filler(k) for k in rng.integers(1, 9, n))
+    passages = [filler(300), spaced(49), spaced(52), spaced(60), filler(400), spaced(90), spaced(150)]
+    rows = [(300 + i, filler(37 * i % 50) + passages[i % 7] + filler(11) + passages[(3 * i) % 7][i % 5 :] + "é" * (i % 3), "") for i in range(21)]
+    every = docs.where("doc_id <> 6").unionByName(spark.createDataFrame(rows, docs.schema)).withColumnsRenamed({"n_words": "_row"}).selectExpr("*", "_row AS _runs", "_row AS n_bytes", "1 AS regions", "2 AS Kept")
+    texts = [(r.doc_id, (r.text or "").encode()) for r in every.collect()]
+    runs = lambda gone: int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+
+    def wordy(t, short):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], short.astype(int), [0]]))).reshape(-1, 2).tolist()
+        return [e - s for s, e in edge if sum(s <= m.start() and m.end() <= e for m in re.finditer(rb"\S+", t)) > 50]
+
+    true = Counter((i, bytes(np.frombuffer(t, np.uint8)[~gone]), int(gone.sum()), runs(gone), sum(wordy(t, short)), len(wordy(t, short))) for (i, t, gone), (_, _, short) in zip(covered(texts, 400), covered(texts, 200), strict=True))
+    assert len({x[5] for x in true}) > 1 and len({x[3] for x in true}) > 1
+    out = suffixes.cut_repeats(every, passage=200)
+    assert out.columns == ["doc_id", "_row", "_runs", "regions", "kept", "n_bytes", "n_removed", "n_spans", "n_passage_bytes", "n_passages"]
+    assert Counter((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans, r.n_passage_bytes, r.n_passages) for r in out.collect()) == true
+
+
+def test_unsound_keys(spark):
+    from skein.llm.common import sound_key
+
+    df = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 5), (None, 3)], "k long, c long")
+    keys = [r[0] for r in df.select(sound_key(df, "k", "c")).collect()]
+    assert keys[0] == keys[1] and len(set(keys[1:4])) == 3 and keys[3] == 2 and keys[4] is None
 
 
 def test_multikey_order():
