@@ -61,15 +61,24 @@ class Scratch:
 
     def __init__(self):
         self.tables: list[DataFrame] = []
+        self.folders: list[tuple[SparkSession, str]] = []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.tables.append(staged(df, name))
         return self.tables[-1]
 
+    def folder(self, spark: SparkSession, name: str) -> str:
+        """A folder for files that tasks write."""
+        self.folders.append((spark, shared_dir(spark, name)))
+        return self.folders[-1][1]
+
     def clear(self) -> None:
         for df in self.tables:
             unstage(df)
+        for spark, path in self.folders:
+            delete(spark, path)
         self.tables.clear()
+        self.folders.clear()
 
 
 def sound_key(df: DataFrame, key: str, check: str) -> Column:

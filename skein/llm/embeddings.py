@@ -10,7 +10,7 @@ a weight from the start, so a very common vector costs one row.
     enlarge   a list that is full of links is saturated: there may be more. Saturated nodes and all that an edge above
               `PROSPECT` joins to them form groups. What links with a saturated node is within 2 * 0.95 ** 2 - 1 = 0.805
               of all that links with that node, so nodes at a group's border, which no full list names, are in it. A
-              group is compared block by block, each pair of blocks a task of its own, which returns counts and links
+              group is compared block by block, each pair of blocks a row of its own, which returns counts and links
               that span what is linked, not pairs. Work there follows the square of the group's size.
     audit     for a sample of all nodes, links are counted against all vectors, and recall is the mean over those that
               have links. While it is short, the start is repeated with other projections; where it still is after
@@ -18,7 +18,8 @@ a weight from the start, so a very common vector costs one row.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of unlike
 dimension do not link; a null identifier is returned without links; rows sharing an identifier count as vectors each;
-an empty table gives no rows; extra columns do not take part.
+directions are told apart by 128 bits; among equally near neighbours a list keeps any; an empty table gives no rows; extra
+columns do not take part.
 """
 
 from __future__ import annotations
@@ -27,15 +28,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small, staged, table
+from .common import Scratch, shuffle_width, small, sound_key, staged, table
 from .components import components
-from .neardup import spanning
+from .neardup import block_pairs, spanning
+from .sstable import load_arrays, save_arrays
 
 THRESHOLD, PROSPECT = 0.95, 0.8
 LIST, ORDERS, BITS, BLOCK = 16, 8, 48, 256
@@ -45,25 +46,26 @@ GROUP_BLOCK, LARGEST_BLOCK, SALTS = 512, 2048, 32
 
 
 def units(embeddings: DataFrame) -> DataFrame:
-    """vec_id, node (hash of the direction; null where nothing links), unit (packed doubles)."""
+    """vec_id, node and check (two hashes of the direction; null where nothing links), unit (packed doubles)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, unit = [], []
+            node, check, unit = [], [], []
             for vec_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 v = np.array([np.nan if c is None else c for c in x or []], np.float64)
                 size = np.abs(v).max(initial=0)
                 if vec_id is None or not len(v) or not np.isfinite(v).all() or size == 0:
-                    node.append(None)
-                    unit.append(None)
+                    for out in (node, check, unit):
+                        out.append(None)
                     continue
                 v = v / size  # so that the sum of squares neither overflows nor vanishes
                 data = (v / np.sqrt(v @ v) + 0.0).tobytes()
-                node.append(int(np.uint64(xxhash.xxh3_64_intdigest(data)).astype(np.int64)))
+                for out, h in zip((node, check), np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist(), strict=True):
+                    out.append(h)
                 unit.append(data)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(unit, pa.binary())], ["vec_id", "node", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(unit, pa.binary())], ["vec_id", "node", "check", "unit"])
 
-    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(work, "vec_id long, node long, unit binary")
+    return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(work, "vec_id long, node long, check long, unit binary")
 
 
 @lru_cache(maxsize=64)
@@ -152,52 +154,69 @@ def lists(edges: DataFrame) -> DataFrame:
     return some.groupBy("a").agg(best().alias("near")).select(F.col("a").alias("node"), "near")
 
 
-def refined(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def refined(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """NN-descent from the edges (a < b): local joins of every list until few pairs are new."""
     for _ in range(ROUNDS):
         near = lists(edges).select(F.concat(F.array("node"), F.transform("near", lambda x: x["b"])).alias("group"))
         pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         crossed = F.flatten(F.transform("group", lambda x, i: F.transform(F.slice("group", i + 2, LIST + 1), lambda y: pair(x, y))))
         pairs = near.select(F.inline(crossed)).distinct()  # at most about LIST ** 2 / 2 a node
-        new = staged(measured(pairs.join(edges, ["a", "b"], "left_anti"), nodes), "new")
+        new = scratch(measured(pairs.join(edges, ["a", "b"], "left_anti"), nodes), "new")
         found = new.count()
         if not found:
             return edges
         before = edges.count()
-        edges = staged(edges.unionByName(new), "edges")
+        edges = scratch(edges.unionByName(new), "edges")
         if found < 0.002 * before:
             return edges
     return edges
 
 
-def group_counts(grouped: DataFrame, threshold: float) -> DataFrame:
+def group_counts(grouped: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """node, other, links: weighted counts of links inside each group by pair of blocks, where other is null; else a link
-    (node, other), enough of them to join what is linked. grouped: group, node, unit, weight."""
+    (node, other), enough of them to join what is linked. A block is written once, to a file in the shared folder, and a
+    pair of blocks is one row. grouped: group, node, unit, weight."""
+    folder = scratch.folder(grouped.sparkSession, "blocks")
     block = F.greatest(F.lit(GROUP_BLOCK), F.least(F.lit(LARGEST_BLOCK), F.count("*") / 16))
     sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # spreads a large group's rows
-    rows = grouped.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SALTS)).cast("int")).join(sizes, ["group", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "unit", "weight")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        out = [pd.DataFrame({"node": [], "other": [], "links": []})]
-        for _, same in part.groupby(part["unit"].str.len()):
-            x, y = same[same["own"] == i], same[same["own"] == j]
-            if not len(x) or not len(y):
-                continue
-            m, n = (np.frombuffer(b"".join(s["unit"]), np.float64).reshape(len(s), -1) for s in (x, y))
-            hit = m @ n.T >= threshold
-            if i == j:
-                np.fill_diagonal(hit, False)
-            else:
-                out.append(pd.DataFrame({"node": y["node"], "other": None, "links": x["weight"].to_numpy() @ hit}))
-            out.append(pd.DataFrame({"node": x["node"], "other": None, "links": hit @ y["weight"].to_numpy()}))
-            joined = spanning(hit, x["node"].to_numpy(), y["node"].to_numpy())
-            out.append(pd.DataFrame(joined, columns=["node", "other"], dtype="int64").assign(links=0))
-        return pd.concat([d.astype({"node": "int64", "other": "Int64", "links": "int64"}) for d in out])
-
-    return rows.groupBy("group", "i", "j").applyInPandas(compare, "node long, other long, links long")
+    rows = grouped.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SALTS)).cast("int")).join(sizes, ["group", "salt"]).select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "unit", "weight")
+    listed = F.sort_array(F.collect_list(F.struct(F.length("unit").alias("size"), "node", "weight", "unit")))  # of one block
+    packed = rows.groupBy("group", "block").agg(listed.alias("rows"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 1):
+            group, block, held = b.column(0)[0].as_py(), b.column(1)[0].as_py(), b.column(2)[0].values
+            size, node, weight = (held.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            save_arrays(path := f"{folder}/{group}/{block}", [node, weight, size, np.frombuffer(b"".join(held.field(3).to_pylist()), "<f8")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([path])], ["group", "block", "path"])
+
+    blocks = scratch(packed.mapInArrow(pack, "group long, block int, path string"), "blocks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = "", None
+        for p, q in (pair for b in batches for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            if last[0] != p:
+                last = p, load_arrays(p, "qqqd")
+            same, out, x, y = p == q, [], last[1], load_arrays(q, "qqqd")
+            for size in np.intersect1d(x[2], y[2]):
+                own = []
+                for nodes, weights, sizes_, units_ in (x, y):
+                    at, low = np.flatnonzero(sizes_ == size), int(sizes_[sizes_ < size].sum()) // 8  # sorted by size
+                    own.append((nodes[at], weights[at], units_[low : low + len(at) * size // 8].reshape(len(at), -1)))
+                (left, w, m), (right, v, n) = own
+                hit = m @ n.T >= threshold
+                if same:
+                    np.fill_diagonal(hit, False)
+                else:
+                    out.append((right, None, w @ hit))
+                out.append((left, None, hit @ v))
+                joined = np.array(spanning(hit, left, right), np.int64).reshape(-1, 2)
+                out.append((joined[:, 0], joined[:, 1], np.zeros(len(joined), np.int64)))
+            for node, other, links in out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node)), pa.nulls(len(node), pa.int64()) if other is None else pa.array(np.ascontiguousarray(other)), pa.array(links.astype(np.int64))], ["node", "other", "links"])
+
+    return block_pairs(blocks).mapInArrow(compare, "node long, other long, links long")
 
 
 def summed(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,15 +224,15 @@ def summed(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return compared.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links")), compared.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-def counted(edges: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def counted(edges: DataFrame, nodes: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, n_links without copies of its own direction) for nodes with links, and the links (a, b)."""
-    links = staged(edges.where(F.col("sim") >= threshold).select("a", "b"), "close")
+    links = scratch(edges.where(F.col("sim") >= threshold).select("a", "b"), "close")
     full = lists(edges).where((F.size("near") == LIST) & (F.get("near", F.lit(LIST - 1))["sim"] >= threshold)).select("node")
-    full = staged(full, "full")
+    full = scratch(full, "full")
     near = edges.where(F.col("sim") >= 2 * threshold**2 - 1).select("a", "b")
     touched = near.join(full.select(F.col("node").alias("a")), "a", "left_semi").unionByName(near.join(full.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b"))
-    groups = staged(components(touched).select("node", F.col("comp").alias("group")), "groups")
-    dense, joined = summed(staged(group_counts(nodes.join(groups, "node").select("group", "node", "unit", "weight"), threshold), "compared"))
+    groups = components(touched).select("node", F.col("comp").alias("group"))
+    dense, joined = summed(scratch(group_counts(nodes.join(groups, "node").select("group", "node", "unit", "weight"), threshold, scratch), "compared"))
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ways = ways.join(groups.select(F.col("node").alias("a"), F.col("group").alias("g")), "a", "left").join(groups.select(F.col("node").alias("b"), F.col("group").alias("h")), "b", "left").where("g IS NULL OR h IS NULL OR g <> h")
     sparse = ways.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("links"))
@@ -253,19 +272,24 @@ def orders_for(n: int) -> int:
 
 def near_vectors(embeddings: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id, kept."""
+    scratch = Scratch()
     rows = staged(units(embeddings), "units")
+    rows = rows.withColumn("node", sound_key(rows, "node", "check")).drop("check")
     nodes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("unit").alias("unit"), F.count("*").alias("weight"), F.min("vec_id").alias("least")), "nodes")
     edges, width = None, orders_for(nodes.count())
     for attempt in range(ATTEMPTS):
         found = unordered(sorted_blocks(nodes, range(attempt * width, (attempt + 1) * width)))
-        found = staged(found if edges is None else unordered(edges.unionByName(found)), "edges")
-        edges = refined(found, nodes)
-        counts, links = counted(edges, nodes, threshold)
+        found = scratch(found if edges is None else unordered(edges.unionByName(found)), "edges")
+        edges = refined(found, nodes, scratch)
+        counts, links = counted(edges, nodes, threshold, scratch)
         if audited(counts, nodes, threshold) >= RECALL:
             break
     else:
-        counts, links = summed(staged(group_counts(nodes.select(F.lit(0).cast("long").alias("group"), "node", "unit", "weight"), threshold), "compared"))
+        compared = scratch(group_counts(nodes.select(F.lit(0).cast("long").alias("group"), "node", "unit", "weight"), threshold, scratch), "compared")
+        counts, links = summed(compared)
+        counts = staged(counts, "counts")
     comp = components(links)
+    scratch.clear()
     of_node = nodes.select("node", "least", "weight").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = of_node.groupBy("comp").agg(F.min("least").alias("component_id"))
     answer = of_node.join(smallest, "comp").join(counts, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches, shared_dir, small, table
-from .sstable import file_system, open_input
+from .sstable import load_arrays, save_arrays
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 1 << 20
@@ -100,29 +100,13 @@ def save_shard(path: str, low: np.ndarray, high: np.ndarray, docs: np.ndarray, l
     ph = PerfectHash.build(low)
     order = np.empty(len(low), np.int64)
     order[ph.find(low)] = np.arange(len(low))
-    system, at = file_system(path)
-    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    from pyspark import TaskContext
-
-    own = f"{at}-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    with system.open_output_stream(own) as out:
-        for a in (np.array([len(ph.sizes), len(ph.words), len(ph.rest), len(low)]), ph.sizes, ph.words, ph.rest, high[order], np.minimum(docs[order], (1 << 32) - 1).astype("<u4"), largest[order]):
-            out.write(np.ascontiguousarray(a).tobytes())
-    if system.get_file_info(at).is_file:
-        system.delete_file(at)
-    system.move(own, at)
+    save_arrays(path, [ph.sizes, ph.words, ph.rest, high[order], np.minimum(docs[order], (1 << 32) - 1).astype("<u4"), largest[order]])
 
 
 class Shard:
     def __init__(self, path: str):
-        with open_input(path) as file:
-            data = file.read()
-        levels, words, rest, n = np.frombuffer(data, "<i8", 4).tolist()
-        at, out = 32, []
-        for kind, k in (("<i8", levels), ("<u8", words), ("<u8", rest), ("<u8", n), ("<u4", n), ("<i8", n)):
-            out.append(np.frombuffer(data, kind, k, at))
-            at += k * out[-1].itemsize
-        self.hash, (self.fingerprints, self.docs, self.largest) = PerfectHash(*out[:3]), out[3:]
+        *own, self.fingerprints, self.docs, self.largest = load_arrays(path, "qQQQIq")
+        self.hash = PerfectHash(*own)
 
     def probe(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is held, and the largest identifier where it is."""

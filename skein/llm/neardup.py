@@ -10,18 +10,20 @@ intervals, and the last one thinned to its part. Each register keeps its earlies
 register with the probability of their weighted Jaccard similarity. Processes unfold in time up to a horizon at which
 nearly every text has all registers filled; the few others go on with a longer one.
 
-Candidates. Texts that are equal word by word are one node from the start. Bands of `ROWS` registers name buckets. In a
-bucket each node is checked against a centre, first by one of `CENTRES` orders of nodes, so that the buckets which a large
-group fills in many bands mostly share their centres: a node meets few of them, and counts of pairs stay linear.
-Where a bucket still holds several components, a second round takes a centre anew among those cut off. What is then left
-is compared across components: pair by pair in buckets of at most `FEW` nodes; larger buckets that share nodes form a
-group, compared block by block of `GROUP_BLOCK` nodes as products of matrices, each pair of blocks a task of its own
-that returns only links enough to join what it found. So no link between components is lost to the centres, and no
-group's pairs are ever rows. Every pair is verified on the texts' exact multisets.
+Candidates. Texts that are equal word by word are one node from the start. Bands of `ROWS` registers name buckets, and each
+has a centre, first by one of `CENTRES` orders of nodes, so that buckets which a large group fills in many bands mostly
+share them. A node is first checked against two of its buckets' centres, which joins large groups by two pairs a node.
+Where a bucket still holds several components, nodes are checked against its centre unless in one component with it; then
+against a centre taken anew among those cut off. What is then left is compared across components: pair by pair in buckets
+of at most `FEW` nodes; larger buckets that share nodes form a group, compared block by block of `GROUP_BLOCK` nodes as
+products of matrices, each pair of blocks a row that returns only links enough to join what it found. So no link between
+components is lost to the centres, and no group's pairs are ever rows. Every pair is verified on the texts' exact multisets.
 
 Cases: null, empty and wordless texts link with nothing; a null identifier is returned as a class of its own and takes
 part in none; rows sharing an identifier are each classed, and kept or removed, by their own text, which a hash of it
-tells apart; extra columns are carried by `first_of_each`.
+tells apart; nodes are told apart by 128 bits; ties between centres go to the smaller hash, which changes no class; a very
+long text is one multiset, held by one task; an empty table gives no rows; extra columns are carried by `first_of_each`
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small, staged, table, unstage
+from .common import Scratch, bound_batches, carrying, small, sound_key, staged, table
 from .components import components
+from .sstable import load_arrays, save_arrays
 from .tokens import forget
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -153,7 +156,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (hash of the text), node (hash of the words in order; null without words), bands."""
+    """doc_id, digest (hash of the text), node and check (two hashes of the words in order; null without words), bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -165,12 +168,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), (len(rows), BANDS))
                 for k in range(ROWS):
                     band = mix(band * U(0x9E3779B97F4A7C15) + sign[:, :, k])
-            node = [int(np.uint64(xxhash.xxh3_64_intdigest(" ".join(w), seed=11)).astype(np.int64)) if w else None for w in rows]
+            node = [np.frombuffer(xxhash.xxh3_128_digest(" ".join(w), seed=11), "<i8").tolist() if w else (None, None) for w in rows]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(band).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node, pa.int64()), lists], ["doc_id", "digest", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([n[k] for n in node], pa.int64()) for k in (0, 1)), lists], ["doc_id", "digest", "node", "check", "bands"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(work, "doc_id long, digest long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(work, "doc_id long, digest long, node long, check long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -244,87 +247,122 @@ def block_overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096
     return total
 
 
-def group_links(grouped: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join what is linked inside each group, compared block by block; each pair of blocks is a task of
-    its own and returns fewer links than it has nodes. A block holds about `GROUP_BLOCK` texts, fewer where texts are long.
-    grouped: group, node; texts: node, text, chars."""
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Paths (x, y) of every pair of a group's blocks, a block with itself included, so that those of one x mostly follow one
+    another in a task. blocks: group, block, path. What is joined are blocks, never members."""
+    i, j = (blocks.select("group", F.col("block").alias(k), F.col("path").alias(p)) for k, p in (("i", "x"), ("j", "y")))
+    pairs = i.join(j, "group").where("i <= j")
+    return pairs.repartition("group", "i", F.pmod("j", F.lit(16))).sortWithinPartitions("group", "i", "j").select("x", "y")
+
+
+def group_links(grouped: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join what is linked inside each group, compared block by block; a pair of blocks is one row and
+    returns fewer links than it has nodes. A block holds about `GROUP_BLOCK` texts, fewer where texts are long, and is
+    written once, as its shingles' hashes, to a file in the shared folder. grouped: group, node; texts: node, text, chars."""
+    folder = scratch.folder(grouped.sparkSession, "blocks")
     sizes = grouped.join(texts.select("node", "chars"), "node").groupBy("group").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("chars") / GROUP_CHARS)).cast("int").alias("blocks"))
-    rows = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
+    rows = grouped.join(sizes, "group").select("group", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
         forget()
         shingler = Shingler()
         bags_ = [shingler.hashes([shingler.words(t)])[0] for t in part["text"]]  # one text's words at a time
-        own, node = part["own"].to_numpy(), part["node"].to_numpy()
-        x, y = np.flatnonzero(own == part["i"].iloc[0]), np.flatnonzero(own == part["j"].iloc[0])
-        size = np.array([len(h) for h in bags_])
-        both = block_overlaps([bags_[k] for k in x], [bags_[k] for k in y]).astype(np.float64)
-        hit = both >= threshold * np.maximum(size[x][:, None] + size[y][None, :] - both, 1)
-        hit &= node[x][:, None] != node[y][None, :]
-        return pd.DataFrame(spanning(hit, node[x], node[y]), columns=["a", "b"], dtype="int64")
+        group, block = int(part["group"].iloc[0]), int(part["block"].iloc[0])
+        save_arrays(path := f"{folder}/{group}/{block}", [part["node"].to_numpy(np.int64), np.array([len(h) for h in bags_], np.int64), np.concatenate(bags_)])
+        return pd.DataFrame({"group": [group], "block": [block], "path": [path]})
+
+    blocks = scratch(rows.join(texts.select("node", "text"), "node").groupBy("group", "block").applyInPandas(pack, "group long, block int, path string"), "blocks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = "", None
+        bag = lambda sizes, hashes: np.split(hashes, np.cumsum(sizes)[:-1])
+        for x, y in (pair for b in batches for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            if last[0] != x:
+                last = x, load_arrays(x, "qqQ")
+            (left, n, own), (right, m, other) = last[1], load_arrays(y, "qqQ")
+            both = block_overlaps(bag(n, own), bag(m, other)).astype(np.float64)
+            hit = both >= threshold * np.maximum(n[:, None] + m[None, :] - both, 1)
+            hit &= left[:, None] != right[None, :]
+            found = np.array(spanning(hit, left, right), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
-    return rows.join(texts.select("node", "text"), "node").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    return block_pairs(blocks).mapInArrow(compare, "a long, b long")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Each node with two centres among those of its buckets, least by two orders. Buckets that a large group fills in many
+    bands mostly share these, so that a node meets two centres of the group and not one a band."""
+    least = lambda k: F.min(F.struct(F.xxhash64("centre", F.lit(k)), "centre"))["centre"]
+    two = members.groupBy("node").agg(F.array(least(1), least(2)).alias("both"))
+    return ordered(two.select(F.col("node").alias("a"), F.explode("both").alias("b")).where("a <> b"))
+
+
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: doc_id, digest, node, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
     bound_batches(docs.sparkSession)
+    scratch = Scratch()
     sketched = staged(sketches(docs), "sketches")
-    nodes = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    sketched = sketched.withColumn("node", sound_key(sketched, "node", "check")).drop("check")
     known = sketched.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"))
     rows = known.select("node", F.explode("bands").alias("bucket")).distinct()
     turn = F.xxhash64("node", F.pmod("bucket", F.lit(CENTRES)))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("turn"), "node")).alias("centre")).where("n > 1").select("bucket", F.col("centre.node").alias("centre"))
-    members = staged(rows.join(crowded, "bucket"), "members")
-    first = staged(ordered(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))), "pairs")
+    members = scratch(rows.join(crowded, "bucket"), "members")
     asked = members.select("node").distinct()
     one = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one")).select(F.col("node").alias("own"), "one.*")
-    texts = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("digest")).join(one, ["doc_id", "digest"]).select(F.col("own").alias("node"), "text", F.length("text").alias("chars")).dropDuplicates(["node"]), "texts")
-    links = staged(verified(first, texts, threshold), "found")
-    tested = first
-    for last in (False, True):
-        comp = components(links)
-        here = members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    texts = scratch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("digest")).join(one, ["doc_id", "digest"]).select(F.col("own").alias("node"), "text", F.length("text").alias("chars")).dropDuplicates(["node"]), "texts")
+    pairs = scratch(first_pairs(members), "pairs")
+    links, tested, large = scratch(verified(pairs, texts, threshold), "found"), pairs, 0
+    comp = components(links)
+    for turn_no in ("centre", "anew", "rest"):
+        here = members.select("bucket", "node", "centre").join(comp, "node", "left").select("bucket", "node", "centre", F.coalesce("comp", "node").alias("comp"))
         split = here.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         cut = here.join(split, "bucket")
-        if last:
+        if turn_no == "centre":
+            rest = cut.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        elif turn_no == "anew":
+            anew = cut.where("comp <> low").groupBy("bucket").agg(F.min(F.struct(turn.alias("turn"), "node", "comp")).alias("c")).select("bucket", F.col("c.node").alias("fresh"), F.col("c.comp").alias("own"))
+            rest = cut.join(anew, "bucket").where("comp <> own").select(F.col("node").alias("a"), F.col("fresh").alias("b"))
+        else:
             crowd = cut.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
-            cut = staged(cut.join(crowd, "bucket"), "cut")
+            cut = scratch(cut.join(crowd, "bucket"), "cut")
             few = cut.where(F.col("n") <= FEW)
             rest = few.select("bucket", F.col("node").alias("a"), F.col("comp").alias("x")).join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("y")), "bucket").where("x < y").select("a", "b")
             hubs = cut.where(F.col("n") > FEW).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            if hubs.limit(1).count():
+            if large := hubs.limit(1).count():
                 groups = components(hubs).select(F.col("comp").alias("group"), "node")
-                links = links.unionByName(staged(group_links(groups, texts, threshold), "found"))
-        else:
-            anew = cut.where("comp <> low").groupBy("bucket").agg(F.min(F.struct(turn.alias("turn"), "node", "comp")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.comp").alias("own"))
-            rest = cut.join(anew, "bucket").where("comp <> own").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-        pairs = staged(ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            if not last:
-                continue
-            break
-        more = staged(verified(pairs, texts, threshold), "found")
-        links, tested = links.unionByName(more), tested.unionByName(pairs)
-    comp = components(links)
+                links = links.unionByName(scratch(group_links(groups, texts, threshold, scratch), "found"))
+        if turn_no == "centre":  # only pairs that no component joins yet
+            both = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
+            rest = both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        pairs = scratch(ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if some := pairs.limit(1).count():
+            links, tested = links.unionByName(scratch(verified(pairs, texts, threshold), "found")), tested.unionByName(pairs)
+        if some or large:
+            comp = components(links)
+    scratch.clear()
     of_node = nodes.join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     smallest = of_node.groupBy("comp").agg(F.min("least").alias("class_id"))
     answer = of_node.join(smallest, "comp").select("node", "class_id")
     key = F.coalesce("node", F.xxhash64("doc_id"))  # spreads wordless rows, which match nothing
-    unstage(texts)
     out = sketched.select("doc_id", "digest", "node").withColumn("_key", key).join(answer.select(F.col("node").alias("_key"), F.col("class_id").alias("found")), "_key", "left")
     return out.select("doc_id", "digest", "node", F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id")).alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def first_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that `classes` does not keep. Repeated rows of a kept identifier and text stay."""
-    gone = classes(docs, threshold=threshold).where("NOT kept").select("doc_id", F.col("digest").alias("_digest")).distinct()
-    return docs.withColumn("_digest", F.xxhash64(F.col("text").cast("string"))).join(gone, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
+
+    def work(own: DataFrame) -> DataFrame:
+        gone = classes(own, threshold=threshold).where("NOT kept").select("doc_id", F.col("digest").alias("_digest")).distinct()
+        key = F.xxhash64(F.col("text").cast("string"))
+        return own.withColumn("_digest", key).join(gone, ["doc_id", "_digest"], "left_anti").drop("_digest")
+
+    return carrying(docs, work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,33 @@ def open_input(path: str):
     return system.open_input_file(at)
 
 
+def save_arrays(path: str, arrays: list[np.ndarray]) -> None:
+    """Writes a file of its own for the task's attempt and moves it into place, so readers never see half of it."""
+    from pyspark import TaskContext
+
+    system, at = file_system(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    own = f"{at}-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
+    with system.open_output_stream(own) as out:
+        out.write(np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes())
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).tobytes())
+    if system.get_file_info(at).is_file:  # left by an earlier attempt
+        system.delete_file(at)
+    system.move(own, at)
+
+
+def load_arrays(path: str, kinds: str) -> list[np.ndarray]:
+    """What save_arrays wrote; kinds: a letter an array, q, Q or d of 8 bytes each and I of 4."""
+    with open_input(path) as file:
+        data = file.read()
+    out, at = [], 8 * (len(kinds) + 1)
+    for kind, n in zip(kinds, np.frombuffer(data, "<i8", len(kinds), 8).tolist(), strict=True):
+        out.append(np.frombuffer(data, np.dtype(kind).newbyteorder("<"), n, at))
+        at += n * out[-1].itemsize
+    return out
+
+
 def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shards: int | None = None, end_id: int = END_ID) -> list[dict]:
     """Encodes, deals out by ranges of identifiers and writes one shard a range.
 

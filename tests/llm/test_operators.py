@@ -150,7 +150,9 @@ def test_orders_grow():
 
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
-    assert {(r.node, r.comp) for r in components.components(links).collect()} == {(i, 0) for i in range(31)} | {(50, 50), (51, 50)}
+    for one_task in (0, components.ONE_TASK):
+        assert sorted(map(tuple, components.components(links, one_task=one_task).collect())) == [(i, 0) for i in range(31)] + [(50, 50), (51, 50)]
+        assert components.components(links.where("false"), one_task=one_task).count() == 0
 
 
 def brute_pii(text):
@@ -295,6 +297,44 @@ def test_unlike_texts_of_one_identifier(spark):
     assert Counter(map(tuple, neardup.first_of_each(docs_).collect())) == Counter(rows[:12] + rows[-1:])
 
 
+def least_linked(ids, linked):
+    """The smallest identifier that links reach, for each."""
+    least = {i: i for i in ids}
+    while True:
+        new = {i: min([least[i], *(least[j] for j in linked[i])]) for i in ids}
+        if new == least:
+            return least
+        least = new
+
+
+@pytest.mark.parametrize("few, block", [(32, 512), (2, 8)])
+def test_near_duplicates_of_all_pairs(spark, monkeypatch, few, block):
+    """Against every pair's multisets, with groups whose links lie on both sides of the threshold."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "GROUP_BLOCK", block)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for family in range(6):
+        base = list(rng.choice(words, 90))
+        base += base[:20] * (family % 3)  # repeated shingles
+        for k in range(14):
+            text = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, 5)):
+                text[at] = f"new{family}x{k}x{at}"
+            rows.append((10 * len(rows), " ".join(text)))
+    rows += [(5000 + i, " ".join(rng.choice(words, 60))) for i in range(20)] + [(9000, rows[3][1].upper()), (9001, None), (9002, "one two"), (9003, "One, two!")]
+    bags = {i: Counter(zip(*(re.findall(r"\w+", t.lower())[k:] for k in range(5)), strict=False)) or Counter([tuple(re.findall(r"\w+", t.lower()))]) for i, t in rows if t}
+    linked = {i: [j for j in bags if (a & bags[j]).total() >= 0.8 * (a | bags[j]).total()] for i, a in bags.items()} | {9001: []}
+    true = least_linked(linked, linked)
+    assert len(set(true.values())) > 30 and max(Counter(true.values()).values()) > 5
+    out = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in out.collect()} == true
+    clash = spark.createDataFrame([(i, t, 1, "d", 3) for i, t in rows], "doc_id long, text string, node int, _digest string, Kept int")
+    left = neardup.first_of_each(clash)
+    assert left.columns == clash.columns and sorted(map(tuple, left.collect()), key=lambda r: r[0]) == [(i, t, 1, "d", 3) for i, t in rows if true[i] == i]
+
+
 def test_bag_minhash_estimates():
     rng = np.random.default_rng(5)
     shingle = rng.integers(0, 1 << 63, 400).astype(np.uint64)
