@@ -6,31 +6,38 @@ With document counts n(.) over N documents and distinct contexts c(.) of an enti
 
     IC(e) = log2(N / c(e))        PMI(e; t) = log2(c(e, t) N / (c(e) n(t)))
 
-a term t is disclosive for e if PMI(e; t) >= `disclosure` * IC(e), in at least `min_contexts` distinct contexts. Texts
-that hold e between the same `CONTEXT_CHARS` characters on either side, everywhere they hold it, are one context, so
-that copies of one passage count once; the characters tell passages apart and bound nothing else. Words inside base
-spans are no terms. Every occurrence of t outside base spans, at any distance, in documents that hold e becomes a span
-of kind `term`. Masking puts a kind's name in place of base spans and generalises terms to [TERM].
+a term t is disclosive for e if PMI(e; t) >= `disclosure` * IC(e), in at least `min_contexts` distinct contexts, and if the
+two are not met by chance: 2 c(e, t) ln 2 PMI(e; t) >= `significance` (chi-squared of one degree, 10.83 for one in a
+thousand), which a few texts of a small corpus do not reach. Texts that hold e between the same `BESIDE_CHARS` characters
+on either side, everywhere they hold it, are one context, so that copies of one passage count once; the characters tell
+passages apart and bound nothing else. Words inside base spans are no terms. A disclosive term gives its entity away
+wherever it stands: every occurrence outside base spans, in every document, becomes a span of kind `term`. Masking puts a
+kind's name in place of base spans and generalises terms to [TERM].
 
 Since c(e, t) is at most c(e) and n(t), only entities with `min_contexts` contexts and words with min_contexts <= n(t)
-<= N ** (1 - disclosure) * c(e) ** disclosure can pass; no others are paired, which leaves out no term.
+<= N ** (1 - disclosure) * c(e) ** disclosure can pass; no others are paired, which leaves out no term. Disclosive words
+are joined with each text's distinct words, and broadcast only where Spark finds their staged table small enough.
 
 Positions come from splitting at the pattern and adding lengths, in blocks, so a text with many spans costs little more
 than linear time. The patterns below are the stated ones with possessive repeats and a look behind at run starts, which
 find the same matches without retrying inside a run or deep recursion.
 
-Cases: a null text is empty and has no spans; a null identifier gets base spans but no terms; rows sharing an
-identifier and holding base spans share terms, each found in its own text; an empty table gives no rows; extra columns are carried by `mask` and ignored by `find`.
+Cases: a null text is empty and has no spans, and stays null when masked; a null identifier is treated like any other; rows
+sharing an identifier are each searched in their own text, which two hashes tell apart (128 bits with the identifier's);
+a word of any length is a term if its letters are three or more; of terms that tie all are hidden; a very long text costs
+little more than linear time, and one task; an empty table gives no rows; extra columns are carried by `mask` whatever
+their names and ignored by `find`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_where, let, staged, table
+from .common import Scratch, carrying, kept_where, let, staged, table
 
 # Kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -48,9 +55,9 @@ ACCEPT: dict[str, Callable[[Column], Column]] = {
     "card": lambda m: let(F.regexp_replace(m, "[ -]", ""), lambda d: F.length(d).between(16, 19) & F.call_function("luhn_check", d)),
     "phone": lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")).between(8, 15),
 }
-CONTEXT_CHARS = 96
-WORD = r"\p{L}[\p{L}\p{M}'-]{2,39}"
-DISCLOSURE, MIN_CONTEXTS = 0.8, 3
+BESIDE_CHARS = 96
+WORD = r"\p{L}[\p{L}\p{M}'-]{2,}+"
+DISCLOSURE, MIN_CONTEXTS, SIGNIFICANCE = 0.8, 3, 10.83
 BLOCK = 256
 
 
@@ -84,7 +91,7 @@ SPAN = "array<struct<kind:string,start:int,end:int,entity:string,left:string,rig
 
 def spans_of(text: Column, kind: str) -> Column:
     """The kind's accepted spans, each with the text beside it."""
-    build = lambda m, start, left, right: F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).cast("int").alias("end"), F.concat(F.lit(kind + ":"), F.lower(m)).alias("entity"), F.right(left, F.lit(CONTEXT_CHARS)).alias("left"), F.left(right, F.lit(CONTEXT_CHARS)).alias("right"), ACCEPT[kind](m).alias("ok"))
+    build = lambda m, start, left, right: F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).cast("int").alias("end"), F.concat(F.lit(kind + ":"), F.lower(m)).alias("entity"), F.right(left, F.lit(BESIDE_CHARS)).alias("left"), F.left(right, F.lit(BESIDE_CHARS)).alias("right"), ACCEPT[kind](m).alias("ok"))
     kept = F.filter(located(text, PATTERNS[kind], build), lambda s: s["ok"])
     none = F.array().cast(SPAN)
     gate = text.contains(GATES[kind]) if GATES[kind] else text.rlike("[0-9]")
@@ -116,38 +123,49 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def disclosive(held: DataFrame, outside: DataFrame, docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosive(held: DataFrame, outside: DataFrame, docs: DataFrame, scratch: Scratch, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS, significance: float = SIGNIFICANCE) -> DataFrame:
     """(entity, word) pairs over the threshold. held: id, entity, context; outside: id, text without its base spans."""
     entity = held.groupBy("entity").agg(F.count_distinct("context").alias("c_e")).where(F.col("c_e") >= min_contexts)
     total = F.broadcast(docs.agg(F.count("*").alias("total")))  # one row
-    asked = staged(held.join(entity, "entity").crossJoin(total).where("c_e < total").withColumn("most", F.pow("total", F.lit(1 - disclosure)) * F.pow("c_e", F.lit(disclosure)) * 1.001), "asked")
+    asked = scratch(held.join(entity, "entity").crossJoin(total).where("c_e < total").withColumn("most", F.pow("total", F.lit(1 - disclosure)) * F.pow("c_e", F.lit(disclosure)) * 1.001), "asked")
     seldom = document_counts(docs).crossJoin(F.broadcast(asked.agg(F.max("most").alias("top")))).where((F.col("n") >= min_contexts) & (F.col("n") <= F.col("top"))).select("word", "n")  # one row
     words = outside.join(asked.select("id").distinct(), "id", "left_semi").select("id", F.explode(words_of(F.col("text"))).alias("word")).join(seldom, "word")
     met = asked.join(words, "id").where("n <= most").select("entity", "context", "word", "n", "c_e", "total").distinct()
     pair = met.groupBy("entity", "word").agg(F.count("*").alias("c_et"), F.first("n").alias("n"), F.first("c_e").alias("c_e"), F.first("total").alias("total")).where(F.col("c_et") >= min_contexts)
     pmi = F.log2(F.col("c_et") * F.col("total") / (F.col("c_e") * F.greatest("n", "c_et")))
-    return pair.where(pmi >= disclosure * F.log2(F.col("total") / F.col("c_e"))).select("entity", "word")
+    return pair.where((pmi >= disclosure * F.log2(F.col("total") / F.col("c_e"))) & (2 * math.log(2) * F.col("c_et") * pmi >= significance)).select("entity", "word")
 
 
-def searched(docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, base and, where it holds spans, text of every row), (doc_id, words: its disclosive terms)."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def keys() -> list[Column]:
+    """What tells rows apart: two hashes of identifier and text; rows alike in both share their terms."""
+    return [F.xxhash64("doc_id", "text").alias("_one"), F.xxhash64("text", "doc_id").alias("_two")]
+
+
+def searched(docs: DataFrame, **options) -> DataFrame:
+    """_one, _two (of `keys`), words: each text's disclosive words, where it has any. docs: doc_id, text (string)."""
+    scratch = Scratch()
     plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     marks = F.transform("_base", lambda s: F.struct(s["entity"].alias("entity"), F.xxhash64(s["left"], s["right"]).alias("beside")))
-    found = staged(with_base(own).select(F.monotonically_increasing_id().alias("id"), "doc_id", F.when(F.size("_base") > 0, F.col("text")).alias("text"), plain.alias("base"), marks.alias("marks")), "spans")
-    marked = found.where(F.size("marks") > 0)
-    held = staged(marked.select("id", "doc_id", F.inline("marks")).groupBy("id", "doc_id", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("beside"))).alias("context")), "held")
-    outside = marked.select("id", masked(F.col("text"), F.col("base"), lambda kind: F.lit(" ")).alias("text"))
-    pairs = disclosive(held.select("id", "entity", "context"), outside, own, disclosure=disclosure, min_contexts=min_contexts)
-    terms = held.where("doc_id IS NOT NULL").join(pairs, "entity").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
-    return found.select("doc_id", "base", "text"), terms
+    marked = scratch(kept_where(with_base(docs), F.size("_base") > 0).select(F.monotonically_increasing_id().alias("id"), masked(F.col("text"), plain, lambda kind: F.lit(" ")).alias("text"), marks.alias("marks")), "marked")
+    held = scratch(marked.select("id", F.inline("marks")).groupBy("id", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("beside"))).alias("context")), "held")
+    words = staged(disclosive(held, marked.select("id", "text"), docs, scratch, **options).select("word").distinct(), "words")  # what is returned reads it
+    scratch.clear()
+    return docs.select(*keys(), F.explode(words_of(F.col("text"))).alias("word")).join(words, "word").groupBy("_one", "_two").agg(F.collect_set("word").alias("words"))
+
+
+def with_spans(docs: DataFrame, **options) -> DataFrame:
+    """`docs` (doc_id, text, any others) with _base and _terms, arrays of kind, start, end."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    terms = staged(searched(docs.select("doc_id", "text"), **options), "terms")  # so that its size is known to the join
+    plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
+    found = docs.select("*", *keys()).join(terms, ["_one", "_two"], "left").drop("_one", "_two")
+    found = with_base(found).withColumn("_base", plain)
+    return found.withColumn("_terms", occurrences(F.col("text"), F.col("words"), F.col("_base"))).drop("words")
 
 
-def find(docs: DataFrame, *, disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """doc_id, base and terms (arrays of kind, start, end) of every row."""
-    found, terms = searched(docs, disclosure=disclosure, min_contexts=min_contexts)
-    words = F.when(F.size("base") > 0, F.col("words"))
-    return found.join(terms, "doc_id", "left").select("doc_id", "base", occurrences(F.col("text"), words, F.col("base")).alias("terms"))
+def find(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, base and terms (arrays of kind, start, end) of every row. Options: those of `disclosive`."""
+    return with_spans(docs.select("doc_id", "text"), **options).select("doc_id", F.col("_base").alias("base"), F.col("_terms").alias("terms"))
 
 
 def masked(text: Column, spans: Column, name: Callable[[Column], Column] = lambda kind: F.concat(F.lit("["), F.upper(kind), F.lit("]"))) -> Column:
@@ -169,18 +187,16 @@ def masked(text: Column, spans: Column, name: Callable[[Column], Column] = lambd
 
 
 def mask(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with personal data in `text` masked. Texts are shuffled only where terms were found."""
-    terms = staged(searched(docs, **options)[1], "terms")
-    base = with_base(docs)
-    plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    touched = kept_where(base, F.size("_base") > 0).join(terms.withColumnRenamed("words", "_words"), "doc_id", "left")
-    both = F.concat(plain, occurrences(F.col("text"), F.col("_words"), plain))
-    changed = touched.withColumn("_spans", both).withColumn("text", masked(F.col("text"), F.col("_spans"))).select(*docs.columns)
-    return kept_where(base, F.size("_base") == 0).select(*docs.columns).unionByName(changed)
+    """`docs` with personal data in `text` masked. Options: those of `disclosive`."""
+
+    def work(own: DataFrame) -> DataFrame:
+        return with_spans(own, **options).withColumn("text", masked(F.col("text"), F.concat("_base", "_terms"))).drop("_base", "_terms")
+
+    return carrying(docs, work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "terms")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "terms")).alias("spans"), F.size(F.concat("base", "terms")).cast("long").alias("n_spans"))
