@@ -4,36 +4,40 @@ A line's key is the line without ASCII white space at both ends, with A-Z lower-
 points found in at least `min_docs` documents lose all their lines except in the largest identifier holding them.
 
 Each document's distinct key hashes (128 bits) are counted, with partial sums before the shuffle, so a line that a
-third of all documents hold is one row a task. Hashes that reach `min_docs` are dealt to shards by hash; a shard is a
-minimal perfect hash (levels of bit arrays in which each key finds a place of its own, and a running count of bits)
-that numbers its n keys from 0 to n-1, and three arrays in that order: a fingerprint of 64 bits, how many documents,
-and the largest identifier. Documents never join lines: a task hashes its lines, sorts the hashes by shard, loads one
-shard at a time and probes its arrays. The fingerprint turns away lines that no shard holds, so with the hash's other
-64 bits a wrong hit takes a collision of 128 bits. Shards hold at most about `SHARD_KEYS` keys, so a task's memory is
-bounded however many lines repeat.
-
-Cases: a null or empty text is one empty line, kept as it is (null stays null); a null identifier counts as a document
-but is never the largest; rows sharing an identifier count each and keep or lose lines alike; extra columns are carried.
+third of all documents hold is one row a task. Distinct hashes found more than once are dealt to shards by hash; a shard is
+a minimal perfect hash (levels of bit arrays in which each key finds a place of its own, and a running count of bits) that
+numbers its n keys from 0 to n-1, and three arrays in that order: a fingerprint of 64 bits, in how many documents the line
+is, and the largest identifier. Documents never join lines: a task hashes its lines, sorts the hashes by shard and probes
+each shard's arrays once for up to `PROBE_BYTES` of texts, keeping up to `CACHED_SHARDS` for the next ones; a line goes if
+its count reaches `min_docs`. The fingerprint turns away lines that no shard holds, so with the hash's other 64 bits a wrong
+hit takes a collision of 128 bits. Shards hold at most about `SHARD_KEYS` keys, so a task's memory is bounded however many
+lines repeat; what grows with the corpus is that each task reads all shards, one at a time.
+
+Cases: a null or empty text is one empty line, kept as it is (null stays null); a very long line is hashed whole; a null
+identifier counts as a document of its own but is never the largest; rows sharing an identifier are one document to the
+count, and keep or lose lines alike; an empty table gives no rows; extra columns are carried whatever their names, except
+that n_lines and n_dropped replace such names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, shared_dir, small, table
+from .common import Scratch, bound_batches, carrying, shared_dir, sized, small, table
 from .sstable import load_arrays, save_arrays
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 1 << 20
-PROBE_BYTES = 32 << 20
+PROBE_BYTES, CACHED_SHARDS = 64 << 20, 4
 WHITE = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
 
@@ -109,17 +113,18 @@ class Shard:
         self.hash = PerfectHash(*own)
 
     def probe(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is held, and the largest identifier where it is."""
+        """In how many documents each hash is known to be (0 for one not held), and the largest identifier there."""
         at = self.hash.find(low)
         hit = at >= 0
         hit[hit] = self.fingerprints[at[hit]] == high[hit]
-        out = np.full(len(low), NO_ID, np.int64)
-        out[hit] = self.largest[at[hit]]
-        return hit, out
+        docs, largest = np.zeros(len(low), np.int64), np.full(len(low), NO_ID, np.int64)
+        docs[hit], largest[hit] = self.docs[at[hit]], self.largest[at[hit]]
+        return docs, largest
 
 
-def build_index(docs: DataFrame, folder: str, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> list[str]:
+def build_index(docs: DataFrame, folder: str, *, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> list[str]:
     """Writes the shards; returns their paths by shard number, '' for a shard without keys."""
+    scratch = Scratch()
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a batch first add up in the worker."""
@@ -137,10 +142,23 @@ def build_index(docs: DataFrame, folder: str, *, min_chars: int = MIN_CHARS, min
             sums = np.array(list(found.values()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (raw[:, 0], raw[:, 1], sums[:, 0], sums[:, 1])], ["low", "high", "n", "largest"])
 
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashes, "low long, high long, n long, largest long").groupBy("low", "high").agg(F.sum("n").alias("n"), F.max("largest").alias("largest")).where(F.col("n") >= min_docs)
-    path = shared_dir(docs.sparkSession, "repeated")
-    counted.write.parquet(path)
-    counted = docs.sparkSession.read.parquet(path)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every row's distinct hashes with its identifier."""
+        for b in small(batches, 2048):
+            rows = [(h, i) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for h in {key_hash(x, min_chars) for x in (text or "").split("\n")} - {None}]
+            raw = np.frombuffer(b"".join([h.to_bytes(16, "little") for h, _ in rows]), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(raw[:, 0])), pa.array(np.ascontiguousarray(raw[:, 1])), pa.array([i for _, i in rows], pa.int64())], ["low", "high", "doc_id"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = "low long, high long, n long, largest long"
+    shared = scratch(own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared")
+    if shared.limit(1).count():  # lines of rows that are one document count once
+        rows = own.join(shared, "doc_id", "left_semi").mapInArrow(each, "low long, high long, doc_id long").distinct()
+        again = rows.select("low", "high", F.lit(1).cast("long").alias("n"), F.col("doc_id").alias("largest"))
+        found = own.join(shared, "doc_id", "left_anti").mapInArrow(hashes, kinds).unionByName(again)
+    else:
+        found = own.mapInArrow(hashes, kinds)
+    counted = scratch(found.groupBy("low", "high").agg(F.sum("n").alias("n"), F.max("largest").alias("largest")).where("n > 1"), "repeated")
     shards = max(1, -(-counted.count() // shard_keys))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,74 +172,82 @@ def build_index(docs: DataFrame, folder: str, *, min_chars: int = MIN_CHARS, min
 
     number = F.expr(f"cast(pmod(pmod(low, {shards}) + if(low < 0, {(1 << 64) % shards}, 0), {shards}) as int)")  # low as unsigned, modulo
     made = {r[0] for r in counted.repartitionById(shards, number).mapInArrow(build, "shard int").collect()}
+    scratch.clear()
     return [f"{folder}/{k:06d}.mph" if k in made else "" for k in range(shards)]
 
 
-def drop_lines(docs: DataFrame, shards: list[str], *, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, shards: list[str], *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` with repeated lines dropped from `text`, n_lines (before) and n_dropped."""
-    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    schema = T.StructType([*kept, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    names = [f.name for f in kept]
-    id_at, text_at = names.index("doc_id"), names.index("text")
-
-    def resolve(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = b.column(id_at).to_pylist(), b.column(text_at).to_pylist()
-        lines, places, keys = [], [], []
-        for row, text in enumerate(texts):
-            own = text.split("\n") if text else [text]
-            lines.append(own)
-            for k, line in enumerate(own):
-                if line and len(line) >= min_chars and (h := key_hash(line, min_chars)) is not None:
-                    places.append((row, k))
-                    keys.append(h.to_bytes(16, "little"))
-        gone: dict[int, list[int]] = defaultdict(list)
-        if keys:
-            raw = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-            low, high = np.ascontiguousarray(raw[:, 0]), np.ascontiguousarray(raw[:, 1])
-            shard = (low % np.uint64(len(shards))).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                if path := shards[int(shard[own[0]])]:
-                    hit, largest = loaded(path).probe(low[own], high[own])
-                    for k, most in zip(own[hit].tolist(), largest[hit].tolist(), strict=True):
-                        row, line = places[k]
-                        if ids[row] is None or ids[row] != most:
-                            gone[row].append(line)
-        dropped = np.zeros(len(ids), np.int64)
-        for row, at in gone.items():
-            out = set(at)
-            dropped[row] = len(out)
-            texts[row] = "\n".join([x for k, x in enumerate(lines[row]) if k not in out])
-        columns = [pa.array(texts, pa.string()) if k == text_at else b.column(b.schema.names.index(n)) for k, n in enumerate(names)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for x in lines], pa.int64()), pa.array(dropped)], [f.name for f in schema.fields])
-
-    last: dict[str, Shard] = {}
+    return carrying(docs, lambda own: _dropped(own, shards, min_chars, min_docs))
+
+
+def _dropped(docs: DataFrame, shards: list[str], min_chars: int, min_docs: int) -> DataFrame:
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    last: OrderedDict[str, Shard] = OrderedDict()
 
     def loaded(path: str) -> Shard:
         if path not in last:
-            last.clear()
+            while len(last) >= CACHED_SHARDS:
+                last.popitem(last=False)
             last[path] = Shard(path)
+        last.move_to_end(path)
         return last[path]
 
+    def hashed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, line and 128-bit hash of the lines that are long enough; lines themselves are not held."""
+        rows, places, keys = [], [], []
+        for row, text in enumerate(b.column(1).to_pylist()):
+            for k, line in enumerate(text.split("\n") if text else ()):
+                if len(line) >= min_chars and (h := key_hash(line, min_chars)) is not None:
+                    rows.append(row)
+                    places.append(k)
+                    keys.append(h.to_bytes(16, "little"))
+        return np.array(rows, np.int64), np.array(places, np.int64), np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+
+    def resolve(held: list[pa.RecordBatch], found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(f[0]) for f in found]
+        raw, gone = np.concatenate([f[2] for f in found]), np.zeros(sum(sizes), bool)
+        own_ids = np.concatenate([np.array([NO_ID if i is None else i for i in b.column(0).cast(pa.int64()).to_pylist()], np.int64)[f[0]] for b, f in zip(held, found, strict=True)])
+        low, high = np.ascontiguousarray(raw[:, 0]), np.ascontiguousarray(raw[:, 1])
+        shard = (low % np.uint64(len(shards))).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+            if path := shards[int(shard[own[0]])]:
+                docs_, largest = loaded(path).probe(low[own], high[own])
+                gone[own] = (docs_ >= min_docs) & ((own_ids[own] == NO_ID) | (own_ids[own] != largest))
+        for b, (rows, places, _), out in zip(held, found, np.split(gone, np.cumsum(sizes)[:-1]), strict=True):
+            drop: dict[int, set[int]] = defaultdict(set)
+            for row, k in zip(rows[out].tolist(), places[out].tolist(), strict=True):
+                drop[row].add(k)
+            texts = b.column(1).to_pylist()
+            lines = np.array([t.count("\n") + 1 if t else 1 for t in texts], np.int64)
+            for row, at in drop.items():
+                texts[row] = "\n".join([x for k, x in enumerate(texts[row].split("\n")) if k not in at])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[2:], pa.array(lines), pa.array([len(drop.get(k, ())) for k in range(len(texts))], pa.int64())], schema.names)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches are gathered up to a bound, so that each shard is loaded once for many documents."""
-        held, size = [], 0
-        for b in small(batches, 1024):
+        """Batches and their hashes are gathered up to a bound, so that each shard is loaded once for many documents."""
+        held, found, size = [], [], 0
+        for b in sized(batches, 1, rows=1024, size=PROBE_BYTES // 8):
             held.append(b)
-            size += b.column(text_at).nbytes if len(held) < 2 else b.get_total_buffer_size() // 8
-            if size > PROBE_BYTES or sum(x.num_rows for x in held) >= 8192:
-                yield resolve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                held, size = [], 0
+            found.append(hashed(b))
+            size += pc.sum(pc.fill_null(pc.binary_length(b.column(1)), 0)).as_py()
+            if size > PROBE_BYTES:
+                yield from resolve(held, found)
+                held, found, size = [], [], 0
         if held:
-            yield resolve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from resolve(held, found)
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(work, schema)
+    return docs.mapInArrow(work, schema)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    if min_docs < 2:
+        raise ValueError("lines must be in two documents at least to be dropped")
     bound_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession, "lines")
-    return drop_lines(docs, build_index(docs, folder, min_chars=min_chars, min_docs=min_docs, shard_keys=shard_keys), min_chars=min_chars)
+    return drop_lines(docs, build_index(docs, folder, min_chars=min_chars, shard_keys=shard_keys), min_chars=min_chars, min_docs=min_docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Each operator against a brute-force version on small tables with nulls, empty and repeated rows, and clashing columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -89,6 +91,40 @@ def test_lines(docs, empty):
     assert {r.n_lines for k, r in out.items() if k[0] in (0, 1, 2)} == {1} and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_shared_identifiers(spark, monkeypatch):
+    """Against the rule applied line by line; groups of batches, shards and their cache are made small."""
+    for name, value in (("PROBE_BYTES", 4000), ("CACHED_SHARDS", 2)):
+        monkeypatch.setattr(lines, name, value)
+    rng, line = np.random.default_rng(1), "a line long enough to be counted, number"
+    rows = [(int(rng.integers(0, 40)), "\n".join(f"{' ' * (k % 3)}{line} {k}{'X' if k % 2 else 'x'}\r" for k in rng.integers(0, 30, rng.integers(0, 9)))) for _ in range(60)]
+    rows += [(100, f"{line} a"), (100, f"{line} a"), (101, f"{line} a"), (None, f"{line} a"), (None, f"{line} b"), (102, f"{line} b\n{line} b"), (103, "y" * 300_000 + f"\n{line} b")]
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    holders = defaultdict(set)
+    for n, (i, t) in enumerate(rows):
+        for x in t.split("\n"):
+            holders[key(x)].add((-1, n) if i is None else (i, 0))
+    goes = lambda i, x: len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and i != max(holders[key(x)])[0]
+    true = Counter((i, "\n".join(x for x in t.split("\n") if not goes(i, x)), t.count("\n") + 1, sum(goes(i, x) for x in t.split("\n")), 5, "k") for i, t in rows)
+    docs_ = spark.createDataFrame([(5, i, t, 0, "k") for i, t in rows], "held int, doc_id long, text string, N_Lines int, _carried string").repartition(3)
+    out = lines.dedup_lines(docs_, shard_keys=7)
+    assert out.columns == ["held", "doc_id", "text", "_carried", "n_lines", "n_dropped"]
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped, r.held, r["_carried"]) for r in out.collect()) == true and sum(k[3] for k in true) > 20
+    twice = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
+    assert not any(r.n_dropped for r in lines.dedup_lines(twice).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_oracles(spark):
+    from skein.llm import queries
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        true = con.execute(sql)
+        names = [d[0] for d in true.description]
+        assert sorted(true.fetchall()) == sorted(map(tuple, queries.queries()[name](spark, folder).select(*names).collect())), name
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64))
     ph = lines.PerfectHash.build(keys)
