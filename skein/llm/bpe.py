@@ -4,8 +4,10 @@ A byte pair that occurs inside no vocabulary token can never be merged across, s
 fragments encoded each on its own; the ids, concatenated, are those of the whole word. Words come from the tokenizer's
 own pre-tokenisation. Cuts are made between characters only, so that each fragment is text.
 
-Cases: a null or empty text has no ids and decodes to the empty string; repeated rows are each encoded; a special
-token's string in a text is that token, as in the library; columns other than the two named are carried along.
+Cases: a null or empty text has no ids and decodes to the empty string; repeated rows and rows sharing an identifier are
+each encoded; ties between merges go to the leftmost, as in the library; a special token's string in a text is that token,
+as in the library; a very long text is one task's, cut into fragments as it is read; an empty table gives no rows; columns
+other than the two named are carried along whatever their names.
 """
 
 from __future__ import annotations

@@ -16,8 +16,10 @@ The result, (configuration, how often) pairs, is at most a few times `capacity`
 any shuffle of texts: each has its rank among the pieces of its length (a local rank, and an offset from the counts of
 earlier partitions), and its rank and length name its sequence and offset.
 
-Cases: a null or empty text is one piece that holds the end id alone; rows are packed one by one, repeated or not; a
-null identifier is carried; an empty table gives no rows. Extra columns do not take part.
+Cases: a null or empty text is one piece that holds the end id alone; rows are packed one by one, repeated or sharing an
+identifier or not; pieces of equal length are interchangeable, so ties change no sequence's fill; a very long text is cut
+into full sequences and a rest; a null identifier is carried; an empty table gives no rows. Extra columns, whatever their
+names, do not take part.
 """
 
 from __future__ import annotations

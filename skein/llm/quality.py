@@ -3,15 +3,18 @@
 Statistics of a text are DataFrame expressions. From labelled documents a list of rules is learned by sequential
 covering: grow a conjunction of thresholds by FOIL gain on two thirds of the rows, prune it on the rest, keep it if it
 is precise enough there, take out what it covers, and go on. The list becomes one ordered CASE expression, so applying
-it is a projection without shuffle or Python. Fitting reads at most `LABELLED_ROWS` labelled rows (those with the
-smallest hash of the identifier) and holds their statistics, a dozen numbers each, on the driver.
+it is a projection without shuffle or Python. Fitting reads at most `LABELLED_ROWS` labels (those with the smallest hash of
+the identifier) and, where rows share identifiers, at most twice as many documents; it holds their statistics, a dozen
+numbers each, on the driver.
 
 Three-word windows are compared by 64-bit hashes within one text; windows that recur are found by sorting the hashes,
 in n log n for a text of n words.
 
-Cases: a null text has no words and fails the base rules; labels that are null or lack a document do not count, and
-without labels the list is empty, so that the base rules alone decide; repeated rows are judged alike; extra columns
-are carried, and columns of the operator's names replaced.
+Cases: a null or empty text has no words and fails the base rules; a very long text is one row's expression, in n log n;
+labels that are null or lack a document do not count, and without labels the list is empty, so that the base rules alone
+decide; of rules that gain alike the first feature and lowest cut win; repeated rows and rows sharing an identifier are
+judged each by their own text; an empty table gives no rows; extra columns are carried whatever their names, except that
+results of the operator (`BASE`, base_failed, kept) replace such names in `judged`; `accepted` gives back all columns.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import carrying, kept_where, let, table
 
 LABELLED_ROWS = 20_000
 MIN_PRECISION, MIN_COVER, MAX_RULES, MAX_CONDITIONS = 0.9, 0.005, 24, 4
@@ -54,8 +57,8 @@ def repeat_words(words: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, rates: bool = True) -> DataFrame:
-    """`docs` with the base statistics and, unless told otherwise, the rates that rules may test."""
-    docs = docs.drop(*BASE, *RATES, "_text", "_words", "_lines")
+    """`docs` (doc_id, text, none of the names used here) with the base statistics and, unless told otherwise, the rates that
+    rules may test."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.withColumn("_text", text)
     df = df.withColumns({
@@ -175,8 +178,17 @@ def base_failed() -> Column:
 def judged(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """`docs` with base statistics, base_failed and kept."""
     rules = learn(labelled(docs, labels, rows))
-    out = with_statistics(docs.drop("base_failed", "kept"), rates=bool(rules))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(rules)).drop(*RATES)
+
+    def work(own: DataFrame) -> DataFrame:
+        out = with_statistics(own, rates=bool(rules))
+        return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(rules)).drop(*RATES)
+
+    return carrying(docs, work)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns."""
+    return carrying(docs, lambda own: kept_where(judged(own, labels, rows), F.col("kept")).select(*own.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,15 @@ Rows with a null identifier are in shards of their own after all others, dealt b
 footer and an identifier of 0 in place of the missing one; readers give it back as null, and `lookup` of None finds them.
 
 Cases: a null text is empty; a null identifier is carried; rows that share an identifier all stay, ordered by their
-ids; an empty table makes no shards; other columns are not stored.
+ids, which settles ties; a very long text is one entry and one block of its own; an empty table makes no shards; other
+columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width, sized
+from .common import shared_dir, sized, width_for
 from .tokens import load, segment_encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-BLOCK_BYTES = 64 << 10
+BLOCK_BYTES, SHARD_BYTES = 64 << 10, 256 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MAGIC, NULL_MAGIC = b"SKEINSST", b"SKEINNUL"
 FOOTER = struct.Struct("<QQQQIQQI8s")
@@ -86,7 +88,7 @@ class Writer:
         self.out, self.width, self.null, self.at = out, width, null, 0
         self.block, self.entries, self.last, self.first = bytearray(), 0, b"", b""
         self.index: list[tuple] = []
-        self.keys: list[int] = []
+        self.keys = array("Q")  # eight bytes a document, for the filter
         self.ids = self.before = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -116,9 +118,11 @@ class Writer:
         self.flush()
         index = np.array(self.index, INDEX).tobytes()
         bits = max(64, BLOOM_BITS * len(self.keys))
-        filter_ = np.zeros(bits, np.uint8)
-        filter_[bloom_places(np.array(self.keys, np.uint64), bits).ravel()] = 1
-        bloom = np.packbits(filter_).tobytes()
+        keys, filter_ = np.frombuffer(self.keys, np.uint64) if self.keys else np.zeros(0, np.uint64), np.zeros(-(-bits // 8), np.uint8)
+        for low in range(0, len(keys), 1 << 16):
+            at = bloom_places(keys[low : low + (1 << 16)], bits).ravel()
+            np.bitwise_or.at(filter_, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))  # as packbits has them
+        bloom = filter_.tobytes()
         self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), bits, BLOOM_PROBES, len(self.keys), self.ids, self.width, NULL_MAGIC if self.null else MAGIC))
 
 
@@ -135,7 +139,7 @@ class Reader:
         self.null = magic == NULL_MAGIC
         self.index = np.frombuffer(self.read(index_at, index_size), INDEX)
         self.firsts = self.index["key"].tolist()
-        self.bloom = np.unpackbits(np.frombuffer(self.read(bloom_at, -(-self.bits // 8)), np.uint8))
+        self.bloom = np.frombuffer(self.read(bloom_at, -(-self.bits // 8)), np.uint8)
 
     def read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
@@ -163,7 +167,8 @@ class Reader:
         if self.null or doc_id is None:
             return [ids for _, ids in self] if self.null and doc_id is None else []
         key = int.from_bytes(to_key(doc_id), "big")
-        if not self.bloom[bloom_places(np.array([key], np.uint64), self.bits)].all():
+        at = bloom_places(np.array([key], np.uint64), self.bits)
+        if not (self.bloom[(at >> np.uint64(3)).astype(np.int64)] & (np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))).all():
             return []
         k, out = bisect_right(self.firsts, key) - 1, []
         while k >= 0:
@@ -215,14 +220,16 @@ def load_arrays(path: str, kinds: str) -> list[np.ndarray]:
 def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shards: int | None = None, end_id: int = END_ID) -> list[dict]:
     """Encodes, deals out by ranges of identifiers and writes one shard a range.
 
-    Returns a row for each shard, in order: path, documents, ids. Bounds of the ranges come from quantiles of the
-    identifier column alone, so texts are encoded once, and what is shuffled are ids. A retried task writes the same
+    Returns a row for each shard, in order: path, documents, ids. There is one for `SHARD_BYTES` of text, or as many as the
+    session's shuffle partitions if that is more. Bounds of the ranges come from quantiles of the identifier column alone, so texts are encoded once, and what is shuffled are ids. A retried task writes the same
     file again under a name of its own and moves it into place, so readers never see half a shard.
     """
     spark = docs.sparkSession
-    path, shards = path or tokenizer_path(VOCABULARY), shards or shuffle_width(spark)
+    path = path or tokenizer_path(VOCABULARY)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found, rows, known = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 10_000), F.count("*"), F.count("doc_id")).first()
+    rows, known, size = docs.agg(F.count("*"), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
+    shards = shards or width_for(spark, size or 0, SHARD_BYTES)
+    found = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], max(10_000, 20 * shards))).first()[0]
     without = -(-shards * (rows - known) // rows) if rows else 0  # shards of null identifiers
     bounds = np.array(sorted(set(found or [])), np.int64)
     width = 2 if load(path).get_vocab_size() <= 1 << 16 else 4

@@ -575,15 +575,44 @@ def test_round_trip(docs, empty):
     assert {(r.doc_id, r.text) for r in back.collect()} == {(i, t or "") for i, t in enumerate(TEXTS)} and bpe.with_ids(empty).count() == 0
 
 
+def features(text):
+    """The statistics that rules may test, by plain Python; and the four base ones."""
+    import regex
+
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    c, covered = Counter(zip(w, w[1:], w[2:], strict=False)), set()
+    for i in range(len(w) - 2):
+        covered |= {i, i + 1, i + 2} if c[tuple(w[i : i + 3])] > 1 else set()
+    rows = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, symbols, twice = sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(rows) - len(set(rows))
+    part = lambda a, b: a / b if b else 0.0
+    of = lambda p: part(len(regex.findall(p, t)), chars)
+    rates = [part(chars, len(w)), part(symbols, chars), part(twice, len(rows)), part(len(covered), len(w)), of(r"\p{Lu}"), of("[0-9]"), of(r"\p{P}"), part(len(set(w)), len(w)), part(len(w), len(rows)), part(sum(len(x) > 20 for x in w), len(w))]
+    return [float(len(w)), *rates], (len(w), chars, symbols, twice, len(covered))
+
+
 def test_quality(spark, docs, empty):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(13)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    for r in quality.judged(docs, labels).collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", TEXTS[r.doc_id] or "")
-        c, covered = Counter(zip(w, w[1:], w[2:], strict=False)), set()
-        for i in range(len(w) - 2):
-            covered |= {i, i + 1, i + 2} if c[tuple(w[i : i + 3])] > 1 else set()
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(covered))
-        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r.base_failed or not r.kept)
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n))
+    junk = lambda n: " ".join("".join(map(chr, rng.integers(33, 91, rng.integers(2, 30)))) for _ in range(n))
+    rows = [(100 + i, (junk if i % 3 == 0 else prose)(int(rng.integers(45, 90))) + "\nsame $ line\nsame $ line\n same $ line" * (i % 2), "own") for i in range(240)]
+    every = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({c: docs["n_words"] for c in ("mean_word", "kept", "_words")})
+    labels = spark.createDataFrame([(100 + i, int(i % 3 > 0)) for i in range(240)] + [(i, i % 2) for i in range(13)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    rules, texts = quality.learn(quality.labelled(every, labels)), dict(enumerate(TEXTS)) | {i: t for i, t, _ in rows}
+    out = quality.judged(every, labels)
+    assert rules and out.columns == ["doc_id", "text", "mean_word", "_words", *quality.BASE, "base_failed", "kept"]
+    kept = []
+    for r in out.collect():
+        stats, (n, *base) = features(texts[r.doc_id])
+        failed = n < 50 or 100 * base[-1] > 50 * n
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, *base, failed)
+        assert r.kept == (not failed and not any(quality.matches(rule, stats) for rule in rules))
+        kept += [r.doc_id] * r.kept
+    good = [i for i, t, _ in rows if i % 3 != 1 and len(t.split()) >= 60]  # 100 + i with i % 3 == 0 is junk
+    assert sum(i in set(kept) for i in good) > 0.9 * len(good) and sum(i in set(kept) for i in range(100, 340, 3)) < 8
+    left = quality.accepted(every, labels)
+    assert left.columns == every.columns and sorted(r.doc_id for r in left.collect()) == sorted(kept) and left.schema["kept"].dataType.simpleString() == "string"
     assert quality.judged(empty, labels.where("false")).count() == 0
 
 

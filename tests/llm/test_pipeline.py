@@ -92,3 +92,25 @@ def test_pipeline(spark, tmp_path):
     for sequence in {r.sequence_id for r in out}:
         ends = [0, *(r.offset + r.length for r in sorted((r for r in out if r.sequence_id == sequence), key=lambda r: r.offset))]
         assert [r.offset for r in sorted((r for r in out if r.sequence_id == sequence), key=lambda r: r.offset)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Rows share identifiers, and columns have the operators' own names; all stages but the last give them back."""
+    rows = [(i, t, f"own{n}", n) for n, (i, t) in enumerate([*planted(), (70, prose(300)), (70, prose(301)), (None, prose(302))])]
+    names = ["kept", "n_words", "_words", "_text", "terms", "_spans", "_base", "_row", "_runs", "_digest", "digest", "node", "n_lines", "n_dropped", "mean_word", "_carried", "words", "Text_", "_t", "_at", "base"]
+    docs = spark.createDataFrame([(i, t, k, *[n] * len(names)) for i, t, k, n in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        after = stage(spark, docs, str(tmp_path))
+        assert after.schema.simpleString() == docs.schema.simpleString()
+        after.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert all(set(r[3:]) == {int(r.source[3:])} for r in docs.collect())
+    left = {int(r.source[3:]): (r.doc_id, r.text) for r in docs.collect()}
+    own = len(rows) - 3
+    assert [left[own + k] for k in range(3)] == [r[:2] for r in rows[own:]]  # nothing of theirs was mixed or lost
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(left)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
