@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +15,15 @@ from .functions.chunking import chunked
 from .operators import answers, evaluation, health, json_records, retrieval
 from .operators import postings as po
 from .operators.search import document_filter, scanned, search
+from .plans.shared import shared_dir
 from .plans.store import Store, changed
 from .sources import files as fs
 
 SEARCHES = {1: "the and", 2: "with this that", 3: "les des", 4: "nowhere zzzz"}
 TIERED = {1: "the and", 2: "ê", 3: "zzzz qqqq"}
 QUESTION = "What is the zzzz and with THIS?"
+PHRASES = {1: '"of the"', 2: "foo_bar", 3: '"é é"', 4: '"è ê" "é é"', 5: '"é zzzz é"'}
+QUESTIONS = {0: QUESTION, 1: "Is that of this?"}
 HIGHLIGHT = '"of the" and'
 
 
@@ -39,8 +41,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(raw_documents(spark, sf_dir).select("doc_id", tx.clean(F.col("text")).alias("text")))
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> po.Index:
-    return po.build(documents(spark, sf_dir), chunks(spark, sf_dir))
+    """The corpus's index, written to the shared folder by the first query of an application that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        root = shared_dir(spark, "index")
+        Store(spark, root).commit(documents(spark, sf_dir), chunks(spark, sf_dir))
+        _STORES[key] = root
+    return Store(spark, _STORES[key]).read()
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as files to be indexed."""
+    texts = raw_documents(spark, sf_dir).select("doc_id", "text")
+    return documents(spark, sf_dir).join(texts, "doc_id").select("path", "filename", "file_type", F.sha2("text", 256).alias("sha256"), "size", F.lit(0).cast("long").alias("modified_ns"), F.lit("").alias("parser_fingerprint"), "text")
 
 
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
@@ -63,24 +80,28 @@ tf AS (SELECT field, doc_id, chunk_index, term, count(*) AS f FROM (SELECT field
 st AS (SELECT field, count(*) AS n_chunks, sum(len(terms)) / count(*) AS avg_length FROM analysed GROUP BY field)"""
 
 
-def sql_queries(queries: dict[int, str]) -> str:
+def sql_queries(queries: dict[int, str], phrases: bool = False) -> str:
     rows = []
     for q, query in queries.items():
         words = tx.query_terms(query)
         for field, parts in (("token", tx.plain_tokens(" ".join(words))), ("raw", words)):
             cut = [tx.plain_terms(p) for p in parts]
-            if all(len(c) == 1 for c in cut):
-                rows += [f"({q}, '{field}', {len(cut)}, {no}, '{c[0]}')" for no, c in enumerate(cut)]
-    return f"asked AS (SELECT * FROM (VALUES {', '.join(rows)}) v(query_id, field, n_terms, term_no, term))"
+            if all(cut) and (phrases or all(len(c) == 1 for c in cut)):
+                rows += [f"({q}, '{field}', {len(cut)}, {no}, {c if phrases else repr(c[0])})" for no, c in enumerate(cut)]
+    return f"asked AS (SELECT * FROM (VALUES {', '.join(rows)}) v(query_id, field, n_terms, term_no, {'phrase' if phrases else 'term'}))"
 
 
-SQL_SCORES = """hits AS (SELECT a.query_id, a.field, a.n_terms, a.term_no, t.doc_id, t.chunk_index, t.f, count(*) OVER (PARTITION BY a.query_id, a.field, a.term_no) AS df FROM asked a JOIN tf t ON a.field = t.field AND a.term = t.term),
-scores AS (SELECT h.query_id, h.field, h.doc_id, h.chunk_index, round(-sum(greatest(ln((n_chunks - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(terms) / avg_length))), 9) AS score
+SQL_PHRASES = """hits AS (SELECT *, count(*) OVER (PARTITION BY query_id, field, term_no) AS df FROM (
+  SELECT a.query_id, a.field, a.n_terms, a.term_no, t.doc_id, t.chunk_index, len([i FOR i IN range(1, len(terms) + 1) IF terms[i : i + len(phrase) - 1] = phrase]) AS f FROM asked a JOIN analysed t ON a.field = t.field) WHERE f > 0),
+"""
+SQL_HITS = """hits AS (SELECT a.query_id, a.field, a.n_terms, a.term_no, t.doc_id, t.chunk_index, t.f, count(*) OVER (PARTITION BY a.query_id, a.field, a.term_no) AS df FROM asked a JOIN tf t ON a.field = t.field AND a.term = t.term),
+"""
+SQL_SCORES = """scores AS (SELECT h.query_id, h.field, h.doc_id, h.chunk_index, -sum(greatest(ln((n_chunks - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(terms) / avg_length)) ORDER BY h.term_no) AS score
   FROM hits h JOIN analysed a ON h.field = a.field AND h.doc_id = a.doc_id AND h.chunk_index = a.chunk_index JOIN st ON st.field = h.field GROUP BY h.query_id, h.field, h.doc_id, h.chunk_index, h.n_terms HAVING count(*) = h.n_terms)"""
 
 
-def sql_search(queries: dict[int, str], limit: int, where: str = "true") -> str:
-    return f"""WITH RECURSIVE {SQL_CHUNKS}, {SQL_FILES}, {SQL_TERMS}, {sql_queries(queries)}, {SQL_SCORES},
+def sql_search(queries: dict[int, str], limit: int, where: str = "true", phrases: bool = False) -> str:
+    return f"""WITH RECURSIVE {SQL_CHUNKS}, {SQL_FILES}, {SQL_TERMS}, {sql_queries(queries, phrases)}, {SQL_PHRASES if phrases else SQL_HITS}{SQL_SCORES},
 tiers AS (SELECT s.*, CASE field WHEN 'token' THEN 1 ELSE 2 END AS tier, f.path, f.filename, f.file_type FROM scores s JOIN files f ON s.doc_id = f.doc_id WHERE {where}),
 firsts AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS first_tier FROM tiers),
 found AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, path, chunk_index) AS INTEGER) AS rank FROM firsts WHERE tier = first_tier QUALIFY rank <= {limit})"""
@@ -110,11 +131,11 @@ def q_chunks(spark, d):
 
 
 def q_postings(spark, d):
-    return po.term_stats(po.postings(chunks(spark, d)))
+    return po.term_stats(index(spark, d).postings)
 
 
 def q_stats(spark, d):
-    return po.stats(po.lengths(chunks(spark, d))).select("field", "n_chunks", F.round("avg_length", 6).alias("avg_length"))
+    return index(spark, d).stats.select("field", "n_chunks", F.round("avg_length", 6).alias("avg_length"))
 
 
 def q_search(spark, d):
@@ -130,7 +151,7 @@ def q_tiers(spark, d):
 
 
 def q_phrase(spark, d):
-    return shown(search(index(spark, d), {1: '"of the"', 2: "foo_bar"}, limit=10))
+    return shown(search(index(spark, d), PHRASES, limit=10))
 
 
 def q_like(spark, d):
@@ -138,8 +159,12 @@ def q_like(spark, d):
 
 
 def q_like_cjk(spark, d):
-    found = scanned(index(spark, d), spark, {1: "中文"})
-    return found.select("query_id", "tier", "chunk_id", "score")
+    """The tables hold no such characters: every 5th document's chunks get some."""
+    i = index(spark, d)
+    more = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("中文TH_x "), F.col("doc_id").cast("string"))).otherwise("")
+    i = po.Index(i.documents, i.chunks.withColumn("content", F.concat("content", more)), i.postings, i.lengths, i.stats)
+    found = scanned(i, spark, {1: "中文", 2: "文th_ the", 3: "plain words", 4: "漢"})
+    return found.join(i.chunks, "chunk_id").select("query_id", "tier", "doc_id", "chunk_index", "score")
 
 
 def q_highlight(spark, d):
@@ -153,21 +178,21 @@ def q_window(spark, d):
 
 
 def q_pairs(spark, d):
-    hits = retrieval.rank_candidates(index(spark, d), 0, ["the", "zzzz", "and", "with"], 10, False)
+    hits = retrieval.rank_candidates(index(spark, d), {0: ["the", "zzzz", "and", "with"]}, 10, False)
     return hits.select("doc_id", "chunk_index", "matched", "pair_hits", "rank_sum", "rank")
 
 
 def q_singles(spark, d):
-    hits = retrieval.rank_candidates(index(spark, d), 0, ["the", "zzzz"], 10, True)
+    hits = retrieval.rank_candidates(index(spark, d), {0: ["the", "zzzz"]}, 10, True)
     return hits.select("doc_id", "chunk_index", "matched", "pair_hits", "rank_sum", "rank")
 
 
 def q_retrieve(spark, d):
-    return retrieval.retrieve(index(spark, d), {0: QUESTION, 1: "Is that of this?"}).select("query_id", "truncated", F.length("context").alias("context_chars"), F.size("chunks").alias("n_chunks"))
+    return retrieval.retrieve(index(spark, d), QUESTIONS).select("query_id", "truncated", F.length("context").alias("context_chars"), F.size("chunks").alias("n_chunks"))
 
 
 def q_context(spark, d):
-    return retrieval.retrieve(index(spark, d), {0: QUESTION}, top_k=3, budget=2000).select("query_id", "truncated", "context", F.transform("chunks", lambda c: c["citation_id"]).alias("citation_ids"))
+    return retrieval.retrieve(index(spark, d), {0: QUESTION}, top_k=3, budget=2000).select("query_id", "truncated", "context", F.array_join(F.transform("chunks", lambda c: c["citation_id"].cast("string")), ",").alias("citation_ids"))
 
 
 def q_list(spark, d):
@@ -193,14 +218,40 @@ def q_changes(spark, d):
 
 def q_prune(spark, d):
     """Files of one source no longer exist."""
-    files = documents(spark, d)
-    return files.join(files.where(~F.col("path").startswith("/src2/")).select("path"), "path", "left_anti").select("doc_id", "path")
+    store, files = Store(spark, shared_dir(spark, "store")), filed(spark, d)
+    store.replace(files)
+    store.prune(files.where(~F.col("path").startswith("/src2/")).select("path"))
+    now = store.read()
+    return health.listed(now.documents, now.chunks).select("path", "chunk_count")
 
 
 def q_remove(spark, d):
-    own = documents(spark, d)
-    gone = own.where(F.col("path").endswith("/0.fr") | F.col("path").endswith("/1.en")).select("doc_id")
-    return chunks(spark, d).join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    """Two of the documents of one source are removed."""
+    store = Store(spark, shared_dir(spark, "store"))
+    store.replace(filed(spark, d).where(F.col("path").startswith("/src1/")))
+    first, last = store.read().documents.agg(F.min("path"), F.max("path")).first()
+    for path in (first, last, "/src1/none"):
+        store.remove(path)
+    now = store.read()
+    return now.postings.join(now.chunks, "chunk_id").join(now.documents, "doc_id").groupBy("path").agg(F.count_distinct("chunk_index").alias("n_chunks"), F.count("*").alias("n_postings"))
+
+
+def q_path_forms(spark, d):
+    """A directory and a file, each by a path that has to be made absolute."""
+    files = documents(spark, d)
+    forms = {"directory": "/nowhere/../src1/", "file": "/src1/./../src2/52.en", "no_directory": "/src1"}
+    found = [document_filter(files, None, path).select(F.lit(form).alias("form"), "path") for form, path in forms.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def q_json_index(spark, d):
+    """Events as files of a hundred records each, every record chunked on its own and numbered on in its file."""
+    no = F.floor(F.col("event_id") / 100).cast("long")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda r: r["props"])  # a hundred
+    files = events(spark, d).where("props IS NOT NULL").groupBy(no.alias("no")).agg(F.concat(F.lit("[\n"), F.array_join(listed, ",\n"), F.lit("]")).alias("text")).select(F.col("no").cast("string").alias("path"), "text")
+    found = json_records.extracted(files, json_records.Profile.from_config({"fields": ["k"]}))
+    parts = found.select("path", F.col("record_no").alias("part"), tx.clean(F.col("text")).alias("text"))
+    return chunked(parts, key="path", part="part").select("path", "chunk_index", "content")
 
 
 def q_path_filter(spark, d):
@@ -265,7 +316,7 @@ def q_scores(spark, d):
 
 def q_discover(spark, d):
     """A tree of small files, made for this."""
-    root = tempfile.mkdtemp(prefix="skein-files-")
+    root = shared_dir(spark, "files").removeprefix("file://")
     for name in ("a.txt", "b.md", "c.json", "sub/d.TXT", "sub/e.bin", "build/f.txt", "skip/g.md"):
         os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
         with open(f"{root}/{name}", "w", encoding="utf-8") as file:
@@ -275,8 +326,7 @@ def q_discover(spark, d):
 
 def q_store(spark, d):
     """An index written, updated and read back: documents by status of their chunks."""
-    store = Store(spark, "file://" + tempfile.mkdtemp(prefix="skein-store-"))
-    files = documents(spark, d).join(raw_documents(spark, d).select("doc_id", "text"), "doc_id").select("path", "filename", "file_type", F.sha2("text", 256).alias("sha256"), "size", F.lit(0).cast("long").alias("modified_ns"), F.lit("").alias("parser_fingerprint"), "text")
+    store, files = Store(spark, shared_dir(spark, "store")), filed(spark, d)
     store.replace(files)
     store.replace(files.where(F.col("path").startswith("/src1/")).withColumn("text", F.lit("")))
     now = store.read()
@@ -292,7 +342,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "list_documents": q_list, "index_counts": q_counts, "health_check": q_health, "incremental_diff": q_changes, "prune_missing": q_prune,
         "remove_document": q_remove, "document_filters": q_path_filter, "json_props_fields": q_json_fields, "json_filters": q_json_filter,
         "json_extract": q_json_extract, "json_structure": q_json_structure, "json_preview": q_json_preview, "citation_validate": q_citations,
-        "eval_scoring": q_scores, "file_discovery": q_discover, "store_snapshots": q_store,
+        "eval_scoring": q_scores, "file_discovery": q_discover, "store_snapshots": q_store, "path_filter_forms": q_path_forms,
+        "json_index_record_mode": q_json_index,
     }
 
 
@@ -304,7 +355,30 @@ SELECT doc_id, chunk_index, matched, pair_hits, rank_sum, CAST(row_number() OVER
     matched = lambda words: " + ".join(f"CAST(contains(lower(c.content), '{w}') AS INTEGER)" for w in words)
     pairs = {k: q for k, q in enumerate(["the zzzz", "the and", "the with", "zzzz and", "zzzz with", "and with"])}
     said = f"(CASE WHEN turn % 4 = 3 THEN '{answers.REFUSAL}' ELSE '' END || coalesce(text, '') || CASE WHEN turn % 3 > 0 THEN ' [' || turn || '][1]' ELSE '' END)"
+    question_pairs = {k: q for k, q in enumerate(["zzzz and", "zzzz with", "zzzz THIS", "and with", "and THIS", "with THIS"])}
+    pair_hits = ranked.replace("GROUP BY ALL", "WHERE query_id < 100 GROUP BY ALL").replace("rank <= 10", "rank <= {k}").replace("SELECT doc_id, chunk_index, matched", ", hits_of_0 AS (SELECT doc_id, chunk_index, matched").replace(")\n, hits_of_0", "),\nhits_of_0").format(pairs="count(*)", matched=matched(["zzzz", "and", "with", "this"]), k="{k}") + ")"
+    asked_1 = "UNION ALL SELECT 1 AS query_id, rank, doc_id, chunk_index FROM found WHERE query_id = 100 AND rank <= 5"
+
+    def context(top: int, budget: int, more: str = "") -> str:
+        return f"""{sql_search(question_pairs | {100: "that of this"}, 10)}, {pair_hits.format(k=top)},
+asked_for AS (SELECT 0 AS query_id, rank, doc_id, chunk_index FROM hits_of_0 {more}),
+bodies AS (SELECT h.query_id, h.rank, any_value(f.filename) AS filename, string_agg('[分段 ' || c.chunk_index || ']' || chr(10) || c.content, chr(10) || chr(10) ORDER BY c.chunk_index) AS body, string_agg(CAST(c.chunk_index AS VARCHAR), '、' ORDER BY c.chunk_index) AS places
+  FROM asked_for h JOIN files f ON h.doc_id = f.doc_id JOIN chunks c ON c.doc_id = h.doc_id AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY h.query_id, h.rank),
+pack AS (SELECT DISTINCT query_id, 0 AS rank, '' AS text, 0 AS taken, false AS cut FROM bodies
+  UNION ALL
+  SELECT query_id, rank + 1, CASE WHEN room > 0 AND excerpt <> '' THEN text || gap || head || excerpt ELSE text END, CASE WHEN room > 0 AND excerpt <> '' THEN taken + 1 ELSE taken END, room <= 0 OR (excerpt <> '' AND length(excerpt) < length(body))
+  FROM (SELECT *, regexp_replace(left(body, greatest(room, 0)), '{SPACE}+$', '') AS excerpt FROM (SELECT *, {budget} - length(text) - length(gap) - length(head) AS room FROM (
+    SELECT p.*, b.body, CASE WHEN p.text = '' THEN '' ELSE chr(10) || chr(10) END AS gap, '[' || (p.taken + 1) || '] 文件：' || b.filename || '；分段：' || b.places || chr(10) AS head FROM pack p JOIN bodies b ON b.query_id = p.query_id AND b.rank = p.rank + 1 WHERE NOT p.cut)))),
+last AS (SELECT *, taken AS n_chunks, cut OR taken < (SELECT count(*) FROM bodies b WHERE b.query_id = pack.query_id) AS truncated FROM pack QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1)"""
+
     return {
+        "phrase_search": sql_search(PHRASES, 10, phrases=True) + SQL_FOUND,
+        "like_fallback_cjk": f"{chunked_}, more AS (SELECT doc_id, chunk_index, translate(content || CASE WHEN doc_id % 5 = 0 THEN '中文TH_x ' || doc_id ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS content FROM chunks) SELECT CAST(query_id AS BIGINT) AS query_id, 3 AS tier, doc_id, chunk_index, CAST(0 AS DOUBLE) AS score FROM (SELECT 1 AS query_id, * FROM more WHERE content LIKE '%中文%' UNION ALL SELECT 2, * FROM more WHERE content LIKE '%文th_%' AND content LIKE '%the%')",
+        "question_retrieval": context(5, retrieval.CONTEXT_CHARS, asked_1) + " SELECT CAST(query_id AS BIGINT) AS query_id, truncated, CAST(length(text) AS INTEGER) AS context_chars, CAST(n_chunks AS INTEGER) AS n_chunks FROM last",
+        "context_packing": context(3, 2000) + " SELECT CAST(query_id AS BIGINT) AS query_id, truncated, text AS context, array_to_string(range(1, n_chunks + 1), ',') AS citation_ids FROM last",
+        "file_discovery": "SELECT CAST(o AS BIGINT) AS ordinal, string_split(name, '/')[-1] AS filename, kind AS file_type, CAST(length(name) AS BIGINT) AS size, 'found' AS status, sha256(name) AS sha256 FROM (VALUES (0, 'a.txt', 'txt'), (1, 'b.md', 'md'), (2, 'sub/d.TXT', 'txt')) v(o, name, kind)",
+        "path_filter_forms": f"WITH {SQL_FILES} SELECT 'directory' AS form, path FROM files WHERE starts_with(path, '/src1/') UNION ALL SELECT 'file', path FROM files WHERE path = '/src2/52.en'",
+        "json_index_record_mode": "SELECT CAST(event_id // 100 AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1 AS INTEGER) AS chunk_index, props ->> '$.k' AS content FROM events WHERE coalesce(props ->> '$.k', '') <> ''",
         "clean_text_documents": f"WITH {SQL_CLEAN} SELECT doc_id, text FROM cleaned",
         "fallback_tokens": r"SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]')) AS token FROM documents) WHERE regexp_matches(token, '[\p{L}\p{N}]')",
         "unicode61_terms": r"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}\p{Co}]+')) AS term FROM documents) GROUP BY ALL",
@@ -326,8 +400,8 @@ SELECT doc_id, chunk_index, matched, pair_hits, rank_sum, CAST(row_number() OVER
   UNION ALL SELECT 'documents_without_chunks', count(*) FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM kept)
   UNION ALL SELECT field || '_extra', count(*) FROM analysed WHERE doc_id % 7 = 0 GROUP BY field) SELECT rule, n FROM rules WHERE n > 0""",
         "incremental_diff": "SELECT doc_id, sha256(text) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'to_index' ELSE 'skipped' END AS status FROM documents",
-        "prune_missing": f"WITH {SQL_FILES} SELECT doc_id, path FROM files WHERE starts_with(path, '/src2/')",
-        "remove_document": f"{chunked_}, {SQL_FILES} SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM files WHERE path LIKE '%/0.fr' OR path LIKE '%/1.en') GROUP BY doc_id",
+        "prune_missing": f"{chunked_}, {SQL_FILES} SELECT f.path, count(*) AS chunk_count FROM files f JOIN chunks c ON f.doc_id = c.doc_id WHERE NOT starts_with(f.path, '/src2/') GROUP BY f.path",
+        "remove_document": f"{chunked_}, {SQL_TERMS}, {SQL_FILES}, own AS (SELECT f.path, c.doc_id, c.chunk_index FROM files f JOIN chunks c ON f.doc_id = c.doc_id WHERE starts_with(f.path, '/src1/')) SELECT o.path, count(DISTINCT o.chunk_index) AS n_chunks, count(*) AS n_postings FROM own o JOIN tf t ON o.doc_id = t.doc_id AND o.chunk_index = t.chunk_index WHERE o.path NOT IN (SELECT min(path) FROM own UNION ALL SELECT max(path) FROM own) GROUP BY o.path",
         "document_filters": f"WITH {SQL_FILES} SELECT doc_id, path FROM files WHERE file_type = 'en' AND starts_with(path, '/src1/')",
         "json_props_fields": "SELECT event_id, coalesce(props ->> '$.k', '') AS k, coalesce(props ->> '$.zzz', '') AS missing FROM events",
         "json_filters": "SELECT event_id FROM events WHERE CAST(props ->> '$.k' AS BIGINT) IN (1, 2, 69)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,21 +44,26 @@ def chunks(text: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[s
     return [c for c in out if c]
 
 
-def chunked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """key, chunk_index, content, start_offset (always 0), chunk_id (from key and index): one row a chunk."""
+def chunked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", part: str | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """key, chunk_index, content, start_offset (always 0), chunk_id (from key and index): one row a chunk. With `part`, a
+    document's texts of different parts are chunked each on its own, and its chunks numbered on in the parts' order; its
+    parts meet in one task for that, which a bound on file sizes bounds."""
     check(size, overlap)
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("start_offset", T.LongType())])
+    number = F.lit(0).cast("long") if part is None else F.col(part).cast("long")
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("_part", T.LongType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType()), T.StructField("start_offset", T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 512):
-                part = b.slice(low, 512)
-                cut = [chunks(t, size, overlap) for t in part.column(1).to_pylist()]
+                some = b.slice(low, 512)
+                cut = [chunks(t, size, overlap) for t in some.column(1).to_pylist()]
                 own = pa.array([k for k, c in enumerate(cut) for _ in c], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(own), pa.array([i for c in cut for i in range(len(c))], pa.int32()), pa.array([x for c in cut for x in c], pa.string()), pa.array([0] * len(own), pa.int64())], [key, "chunk_index", "content", "start_offset"])
+                yield pa.RecordBatch.from_arrays([some.column(0).take(own), some.column(2).take(own), pa.array([i for c in cut for i in range(len(c))], pa.int32()), pa.array([x for c in cut for x in c], pa.string()), pa.array([0] * len(own), pa.int64())], schema.names)
 
-    return docs.select(key, text).mapInArrow(work, schema).withColumn("chunk_id", F.xxhash64(key, "chunk_index"))
+    out = docs.select(key, text, number.alias("_part")).mapInArrow(work, schema)
+    if part is not None:
+        out = out.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("_part", "chunk_index")) - 1)
+    return out.drop("_part").withColumn("chunk_id", F.xxhash64(key, "chunk_index"))
 
 
 def register(spark: SparkSession) -> None:

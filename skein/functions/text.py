@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ STOP_WORDS = """a an are can could does explain how is please the what why 介
 UNITS = {"": 0, "b": 0, "k": 1, "kb": 1, "kib": 1, "m": 2, "mb": 2, "mib": 2, "g": 3, "gb": 3, "gib": 3, "t": 4, "tb": 4, "tib": 4}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds an expression to a lambda variable, so that it is computed once a row however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
@@ -144,30 +150,34 @@ def contains_any(text: Column, alternatives: Column) -> Column:
     return F.exists(alternatives, lambda a: key.contains(answer_key(a)))
 
 
-@F.pandas_udf(T.StringType())
-def relevant_excerpt(evidence: pd.Series, facts: pd.Series) -> pd.Series:
-    """The evidence around the first alternative found of each fact (70 characters before, 150 from it), spans within 20
-    of each other joined, at most 1,200 characters; the first 400 where nothing is found. facts: arrays of alternatives."""
-
-    def one(text: str | None, wanted) -> str:
-        flat = " ".join((text or "").split())
-        low, spans = flat.casefold(), []
-        for alternatives in [] if wanted is None else wanted:
-            places = (low.find("".join(a.split()).casefold()) for a in alternatives)
-            at = next((p for p in places if p >= 0), None)
-            if at is not None:
-                spans.append((max(0, at - 70), min(len(flat), at + 150)))
-        if not spans:
-            return flat[:400]
-        joined: list[list[int]] = []
-        for a, b in sorted(spans):
-            if joined and a - joined[-1][1] <= 20:
-                joined[-1][1] = max(joined[-1][1], b)
-            else:
-                joined.append([a, b])
-        return " ... ".join(flat[a:b].strip() for a, b in joined)[:1200]
-
-    return pd.Series([one(t, f) for t, f in zip(evidence, facts, strict=True)])
+EXCERPT, EXCERPT_PLAIN, BEFORE, AFTER, GAP = 1200, 400, 70, 150, 20
+SPANS = "array<struct<low:int,high:int>>"
+
+
+def relevant_excerpt(evidence: Column, facts: Column) -> Column:
+    """The evidence around the first alternative found of each fact (from `BEFORE` characters before it to `AFTER` from
+    its start), spans at most `GAP` apart joined, `EXCERPT` characters at most; its beginning where nothing is found. facts:
+    arrays of alternatives, which are looked for without their white space."""
+
+    def place(alternatives: Column, low: Column) -> Column:
+        bare = F.transform(alternatives, lambda a: F.lower(F.regexp_replace(a, r"[\s\p{Z}]+", "")))
+        return F.get(F.filter(F.transform(bare, lambda a: F.position(a, low)), lambda p: p > 0), F.lit(0)) - 1
+
+    def spans(flat: Column) -> Column:
+        places = let(F.lower(flat), lambda low: F.filter(F.transform(F.coalesce(facts, F.array().cast("array<array<string>>")), lambda f: place(f, low)), lambda p: p.isNotNull()))
+        return F.array_sort(F.transform(places, lambda p: F.struct(F.greatest(p - BEFORE, F.lit(0)).cast("int").alias("low"), F.least(p + AFTER, F.length(flat)).cast("int").alias("high")))).cast(SPANS)
+
+    def joined(found: Column) -> Column:
+        # a span opens a stretch if it starts more than GAP after all before it; a stretch ends where the last of its spans does
+        reach = lambda k: F.array_max(F.transform(F.slice(found, 1, k), lambda s: s["high"]))
+        opens = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda k: (k == 0) | (F.get(found, k)["low"] - reach(F.greatest(k, F.lit(1))) > GAP))
+        return let(opens, lambda o: F.transform(o, lambda k, i: F.struct(F.get(found, k)["low"].alias("low"), reach(F.coalesce(F.get(o, i + 1), F.size(found))).alias("high"))))
+
+    def shown(flat: Column) -> Column:
+        cut = lambda found: F.left(F.array_join(F.transform(joined(found), lambda s: F.trim(F.substring(flat, s["low"] + 1, s["high"] - s["low"]))), " ... "), F.lit(EXCERPT))
+        return let(spans(flat), lambda found: F.when(F.size(found) == 0, F.left(flat, F.lit(EXCERPT_PLAIN))).otherwise(cut(found)))
+
+    return let(F.trim(F.regexp_replace(F.coalesce(evidence, F.lit("")), r"[\s\p{Z}]+", " ")), shown)
 
 
 def parse_size(value: str | int | float) -> int:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -58,85 +60,152 @@ class Profile:
 def record_text(record, profile: Profile) -> str:
     parts = []
     for name, path, joiner in profile.fields:
-        text = joiner.join(t for t in (jp.as_text(v, joiner) for v in jp.resolve(record, jp.parse(path))) if t)
+        text = jp.texts(jp.resolve(record, jp.parse(path)), joiner)
         parts.append(f"{name}: {text}" if name and text else text)
     return profile.separator.join(p for p in parts if p)
 
 
-def file_records(text: str, record_path: str = "$") -> Iterator:
-    """Records of a file: an array's items, else one value after another; record_path is followed inside each. Records
-    before a fault are yielded first. A scalar where the path wants a container is an error; a field name on an array
-    finds nothing."""
-    decoder, at = json.JSONDecoder(), 0
-    text = text.removeprefix("﻿")
-    steps = jp.parse(record_path)
-
-    def skip(at: int) -> int:
-        while at < len(text) and text[at] in " \t\r\n":
-            at += 1
-        return at
-
-    def value(at: int):
-        try:
-            return decoder.raw_decode(text, at)
-        except json.JSONDecodeError as e:
-            raise ValueError(f"no JSON at {e.pos}: {e.msg}") from None
-
-    def inside(record):
-        if steps and not isinstance(record, (dict, list)) or steps and isinstance(steps[0], int) and isinstance(record, dict):
+BLANK = re.compile(r"[ \t\r\n]*")
+STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+NESTING = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+SCALAR = re.compile(r"-?[0-9][0-9.eE+-]*|true|false|null")
+
+
+class Scanner:
+    """Places of JSON values in a text, found by their brackets and strings alone, so that only what is asked for is parsed."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def blank(self, at: int) -> int:
+        return BLANK.match(self.text, at).end()
+
+    def sign(self, at: int) -> str:
+        return self.text[at : at + 1]
+
+    def fault(self, at: int) -> ValueError:
+        return ValueError(f"no JSON at {at}" if at < len(self.text) else "the JSON ends too early")
+
+    def end(self, at: int) -> int:
+        """Where the value that starts here ends."""
+        if self.sign(at) not in ("[", "{"):
+            m = (STRING if self.sign(at) == '"' else SCALAR).match(self.text, at)
+            if not m:
+                raise self.fault(at)
+            return m.end()
+        open_: list[str] = []
+        for m in NESTING.finditer(self.text, at):
+            sign = m[0]
+            if sign in ("[", "{"):
+                open_.append("]" if sign == "[" else "}")
+            elif sign in ("]", "}"):
+                if open_.pop() != sign:
+                    raise self.fault(m.start())
+                if not open_:
+                    return m.end()
+        raise self.fault(len(self.text))
+
+    def inside(self, at: int) -> Iterator[tuple[str | None, int, int]]:
+        """(name or None, start, end) of what an object or array holds; then (None, -1, its end)."""
+        close = "]" if self.sign(at) == "[" else "}"
+        at = self.blank(at + 1)
+        if self.sign(at) == close:
+            yield None, -1, at + 1
+            return
+        while True:
+            name = None
+            if close == "}":
+                m = STRING.match(self.text, at)
+                if not m or self.sign(colon := self.blank(m.end())) != ":":
+                    raise self.fault(at)
+                name, at = json.loads(m[0]), self.blank(colon + 1)
+            end = self.end(at)
+            yield name, at, end
+            at = self.blank(end)
+            if self.sign(at) == close:
+                yield None, -1, at + 1
+                return
+            if self.sign(at) != ",":
+                raise self.fault(at)
+            at = self.blank(at + 1)
+
+    def follow(self, at: int, steps: tuple) -> Iterator[tuple[int, int]]:
+        """Places that the steps lead to from the value here. A scalar where a container is asked for, and a number asked of
+        an object, are errors; a name asked of an array finds nothing."""
+        if not steps:
+            yield at, self.end(at)
+            return
+        kind, step = self.sign(at), steps[0]
+        if kind not in ("[", "{") or kind == "{" and isinstance(step, int):
             raise ValueError("record_path leads nowhere in a record")
-        yield from jp.resolve(record, steps)
-
-    at = skip(at)
-    if at < len(text) and text[at] == "[":
-        at, more = skip(at + 1), True
-        if at < len(text) and text[at] == "]":
-            at, more = at + 1, False
-        while more:
-            record, at = value(at)
-            yield from inside(record)
-            at = skip(at)
-            if at >= len(text) or text[at] not in ",]":
-                raise ValueError(f"an array goes on wrongly at {at}")
-            more, at = text[at] == ",", skip(at + 1)
-        if skip(at) < len(text):
-            raise ValueError("something follows the array")
+        if kind == "[" and isinstance(step, str):
+            return
+        for n, (name, low, _) in enumerate(self.inside(at)):
+            if low >= 0 and (step is ... or step == (name if kind == "{" else n)):
+                yield from self.follow(low, steps[1:])
+
+
+def record_places(text: str, record_path: str = "$") -> Iterator[tuple[int, int]]:
+    """Start and end of each record: those of an array's items, else of one value after another, record_path followed inside
+    each. Records before a fault are yielded first."""
+    scan, steps, at = Scanner(text), jp.parse(record_path), 0
+    at = scan.blank(at)
+    if scan.sign(at) == "[":
+        for _, low, high in scan.inside(at):
+            if low >= 0:
+                yield from scan.follow(low, steps)
+            elif scan.blank(high) < len(text):
+                raise ValueError("something follows the array")
         return
     while at < len(text):
-        record, at = value(at)
-        yield from inside(record)
-        at = skip(at)
+        yield from scan.follow(at, steps)
+        at = scan.blank(scan.end(at))
+
+
+def file_records(text: str, record_path: str = "$") -> Iterator:
+    """Records of a file, parsed one by one."""
+    text = text.removeprefix("\ufeff")
+    return (json.loads(text[low:high]) for low, high in record_places(text, record_path))
 
 
-def extracted(files: DataFrame, profile: Profile, probe_chars: int = 512 << 20) -> DataFrame:
+OUT = {"path": pa.string(), "record_no": pa.int64(), "block_no": pa.int32(), "text": pa.string(), "error": pa.string()}
+
+
+def extracted(files: DataFrame, profile: Profile, probe_bytes: int = 512 << 20, raw: bool = True) -> DataFrame:
     """files: path, text. A row a record that passes: path, record_no, block_no, text, error (null unless the file
-    failed there). A record longer than the probe comes as raw blocks, without fields or filters."""
+    failed there). A record of more bytes than the probe comes as it stands in the file, in blocks, without fields or
+    filters, or as an error if not `raw`."""
+
+    def of_file(path: str, text: str) -> Iterator[tuple]:
+        wanted, n = jp.predicate(profile.rules), -1
+        try:
+            for n, (low, high) in enumerate(record_places(text, profile.record_path)):
+                if 4 * (high - low) > probe_bytes and len(text[low:high].encode()) > probe_bytes:
+                    if not raw:
+                        raise ValueError(f"record {n} is longer than {probe_bytes} bytes")
+                    yield from ((path, n, k, text[s : min(s + BLOCK_CHARS, high)], None) for k, s in enumerate(range(low, high, BLOCK_CHARS)))
+                elif wanted(record := json.loads(text[low:high])) and (out := record_text(record, profile)):
+                    yield path, n, 0, out, None
+        except ValueError as e:
+            yield path, n + 1, 0, None, str(e)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows: list[tuple] = []
-                try:
-                    for n, record in enumerate(file_records(text or "", profile.record_path)):
-                        raw = json.dumps(record, ensure_ascii=False)
-                        if len(raw) > probe_chars:
-                            rows += [(path, n, k, raw[s : s + BLOCK_CHARS], None) for k, s in enumerate(range(0, len(raw), BLOCK_CHARS))]
-                        elif jp.passes(record, profile.rules) and (out := record_text(record, profile)):
-                            rows.append((path, n, 0, out, None))
-                except ValueError as e:
-                    rows.append((path, len(rows), 0, None, str(e)))
-                if profile.index_mode == "file" and (kept := [r for r in rows if r[4] is None]):
-                    rows = [(path, 0, 0, profile.separator.join(r[3] for r in kept), None), *(r for r in rows if r[4])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["path", "record_no", "block_no", "text", "error"])
+        rows = (row for b in batches for k in range(b.num_rows) for row in of_file(b.column(0)[k].as_py(), (b.column(1)[k].as_py() or "").removeprefix("\ufeff")))
+        while some := list(itertools.islice(rows, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), OUT.values(), strict=True)], list(OUT))
 
     return files.select("path", "text").mapInArrow(work, "path string, record_no long, block_no int, text string, error string")
 
 
-def preview(files: DataFrame, profile: Profile, limit: int = 5) -> DataFrame:
+def preview(files: DataFrame, profile: Profile, limit: int = 5, probe_bytes: int = 512 << 20) -> DataFrame:
+    """The first records by file and place; with index_mode 'file' the first records of each file as one text."""
     if limit <= 0:
         raise ValueError("the limit must be positive")
-    return extracted(files, profile).where("error IS NULL").orderBy("path", "record_no", "block_no").limit(limit)
+    found = extracted(files, profile, probe_bytes, raw=False).where("error IS NULL").orderBy("path", "record_no").limit(limit)
+    if profile.index_mode == "record":
+        return found
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("record_no", "text"))), lambda r: r["text"])  # `limit` rows
+    return found.groupBy("path").agg(F.lit(0).cast("long").alias("record_no"), F.lit(0).alias("block_no"), F.array_join(in_order, profile.separator).alias("text"), F.lit(None).cast("string").alias("error"))
 
 
 def field_texts(records: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
@@ -171,22 +240,36 @@ def where_json(column: Column, rules: list[dict]) -> Column:
     return out
 
 
-def structure(records: DataFrame, column: str, *, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
-    """path, kind, n over all records, for the first `max_paths` paths in their order. Counts add up in the worker first."""
+def structure(records: DataFrame, column: str, *, order: str | None = None, max_records: int = 0, max_depth: int = MAX_DEPTH, max_paths: int = MAX_PATHS) -> DataFrame:
+    """path, kind, n over all records, or the first `max_records` of them, for the `max_paths` paths that are seen first,
+    records in their `order` (as they are read, if there is none). Counts add up in the worker first."""
+    own = records.select(F.col(column).cast("string").alias("_text"), (F.col(order) if order else F.monotonically_increasing_id()).cast("long").alias("_no"))
+    if max_records:
+        own = own.orderBy("_no").limit(max_records)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[str, str], int] = {}
-            for text in b.column(0).to_pylist():
+            found: dict[tuple[str, str], list] = {}
+            for text, no in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     value = json.loads(text) if text else ...
                 except ValueError:
                     continue
-                if value is not ...:
-                    for key in jp.visit(value, "$", max_depth):
-                        found[key] = found.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["path", "kind", "n"])
-
-    counts = records.select(F.col(column).cast("string")).mapInArrow(work, "path string, kind string, n long").groupBy("path", "kind").agg(F.sum("n").alias("n"))
-    paths = counts.select("path").distinct().orderBy("path").limit(max_paths)
-    return counts.join(F.broadcast(paths), "path", "left_semi")  # at most max_paths rows
+                for place, key in enumerate(jp.visit(value, "$", max_depth) if value is not ... else ()):
+                    if (row := found.get(key)) is None:
+                        found[key] = [1, (no, place)]
+                    else:
+                        row[0] += 1
+                        row[1] = min(row[1], (no, place))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), *(pa.array(x, pa.int64()) for x in ([r[0] for r in found.values()], [r[1][0] for r in found.values()], [r[1][1] for r in found.values()]))], ["path", "kind", "n", "no", "place"])
+
+    counts = own.mapInArrow(work, "path string, kind string, n long, no long, place long").groupBy("path", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("no", "place")).alias("first"))
+    paths = counts.groupBy("path").agg(F.min("first").alias("first")).orderBy("first", "path").limit(max_paths).select("path")
+    return counts.drop("first").join(F.broadcast(paths) if max_paths <= 100_000 else paths, "path", "left_semi")
+
+
+def structure_report(records: DataFrame, column: str, *, max_records: int = MAX_RECORDS, **options) -> tuple[DataFrame, int, bool]:
+    """`structure`, how many records it is of, and whether these are all there are. 0 is no limit."""
+    seen = records.limit(max_records + 1).count() if max_records else records.count()
+    complete = not max_records or seen <= max_records
+    return structure(records, column, max_records=0 if complete else max_records, **options), min(seen, max_records or seen), complete

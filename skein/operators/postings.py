@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,7 +15,8 @@ TIERS = {"token": 1, "raw": 2}
 @dataclass(frozen=True)
 class Index:
     """documents: doc_id, path, filename, file_type, ...; chunks: chunk_id, doc_id, chunk_index, content;
-    postings: field, term, chunk_id, positions; lengths: field, chunk_id, length; stats: field, n_chunks, avg_length."""
+    postings: field, term, chunk_id, length (of the chunk in that field), positions; lengths: field, chunk_id, length;
+    stats: field, n_chunks, avg_length."""
 
     documents: DataFrame
     chunks: DataFrame
@@ -24,21 +25,34 @@ class Index:
     stats: DataFrame
 
 
+def entries(terms: Column) -> Column:
+    """(term, positions) of each distinct term. Sorted inside the row, so a chunk's postings need no shuffle."""
+    in_order = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+
+    def of_order(s: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        cut = lambda at, end: F.transform(F.slice(s, at + 1, end - at), lambda x: x["at"])
+        return tx.let(firsts, lambda f: F.transform(f, lambda at, k: F.struct(F.get(s, at)["term"].alias("term"), cut(at, F.coalesce(F.get(f, k + 1), F.size(s))).alias("positions"))))
+
+    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
+    return F.when(F.size(terms) > 0, tx.let(in_order, of_order)).otherwise(none)
+
+
 def analysed(chunks: DataFrame) -> DataFrame:
-    """chunk_id, field, terms in order."""
+    """chunk_id, field, length, entries: a row for each chunk and field."""
     token_terms = tx.terms(F.array_join(tx.tokens(F.col("content")), " "))
     both = F.array(F.struct(F.lit("token").alias("field"), F.col("a").alias("terms")), F.struct(F.lit("raw").alias("field"), F.col("b").alias("terms")))
-    return chunks.select("chunk_id", token_terms.alias("a"), tx.terms(F.col("content")).alias("b")).select("chunk_id", F.inline(both))
+    each = chunks.select("chunk_id", token_terms.alias("a"), tx.terms(F.col("content")).alias("b")).select("chunk_id", F.inline(both))
+    return each.select("chunk_id", "field", F.size("terms").cast("long").alias("length"), entries(F.col("terms")).alias("entries"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """One row for each field, term and chunk. Grouping is by chunk too, so a common term is no hot key."""
-    each = analysed(chunks).select("field", "chunk_id", F.posexplode("terms").alias("position", "term"))
-    return each.groupBy("field", "term", "chunk_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+def postings(analysed_: DataFrame) -> DataFrame:
+    """One row for each field, term and chunk."""
+    return analysed_.select("field", "chunk_id", "length", F.inline("entries")).select("field", "term", "chunk_id", "length", "positions")
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    return analysed(chunks).select("field", "chunk_id", F.size("terms").cast("long").alias("length"))
+def lengths(analysed_: DataFrame) -> DataFrame:
+    return analysed_.select("field", "chunk_id", "length")
 
 
 def stats(lengths_: DataFrame) -> DataFrame:
@@ -52,5 +66,6 @@ def term_stats(postings_: DataFrame) -> DataFrame:
 
 
 def build(documents: DataFrame, chunks: DataFrame) -> Index:
-    length = lengths(chunks)
-    return Index(documents, chunks, postings(chunks), length, stats(length))
+    """An index that is not kept; each use computes it anew. `Store` writes one."""
+    own = analysed(chunks)
+    return Index(documents, chunks, postings(own), lengths(own), stats(lengths(own)))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.shared import written
 from .postings import Index
-from .search import search
+from .search import few, ranked, search
 
 TOP_K, CONTEXT_CHARS = 5, 12_000
 MOST_TOKENS, LEAST_LIMIT = 12, 10
@@ -27,35 +28,44 @@ def neighbours(chunks: DataFrame, hits: DataFrame, radius: int = 1) -> DataFrame
     return listed
 
 
-def matched_tokens(content, tokens: list[str]):
-    low = F.lower(content)
-    return sum((low.contains(t.casefold()).cast("int") for t in tokens), F.lit(0))
+HITS = ["query_id", "rank", "chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index", "content", "score"]
 
 
-def rank_candidates(index: Index, question_id: int, tokens: list[str], top_k: int, singles: bool) -> DataFrame:
-    """Candidates of pair (or single-token) searches in their order."""
-    tokens = tokens[:MOST_TOKENS]
-    asked = list(tokens) if singles else [f'"{a}" "{b}"' for a, b in combinations(tokens, 2)]
-    hits = search(index, dict(enumerate(asked)), limit=max(top_k, LEAST_LIMIT))
-    one = hits.groupBy("chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index", "content").agg((F.lit(0) if singles else F.count("*")).cast("long").alias("pair_hits"), F.sum("rank").alias("rank_sum"), F.min_by("score", "query_id").alias("score"))
-    one = one.withColumn("matched", matched_tokens(F.col("content"), tokens).cast("long")).withColumn("query_id", F.lit(question_id).cast("long"))
+def rank_candidates(index: Index, questions: Mapping[int, list[str]], top_k: int, singles: bool) -> DataFrame:
+    """Candidates of each question's pair (or single-token) searches, all searched at once, in their order."""
+    asked: list[tuple[int, int, str]] = []
+    for question_id, tokens in questions.items():
+        own = tokens[:MOST_TOKENS]
+        for text in own if singles else [f'"{a}" "{b}"' for a, b in combinations(own, 2)]:
+            asked.append((len(asked), question_id, text))
+    spark, limit = index.chunks.sparkSession, max(top_k, LEAST_LIMIT)
+    owner = spark.createDataFrame([(k, q) for k, q, _ in asked], "query_id long, question_id long")
+    wanted = spark.createDataFrame([(q, [t.casefold() for t in tokens[:MOST_TOKENS]]) for q, tokens in questions.items()], "question_id long, tokens array<string>")
+    hits = ranked(index, {k: text for k, _, text in asked}, limit=limit).join(few(owner, len(asked)), "query_id")
+    one = hits.groupBy("question_id", "chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index").agg((F.lit(0) if singles else F.count("*")).cast("long").alias("pair_hits"), F.sum("rank").alias("rank_sum"), F.min_by("score", "query_id").alias("score"))
+    shown = index.chunks.select("chunk_id", "content").join(few(one, len(asked) * limit), "chunk_id").join(few(wanted, len(questions)), "question_id")
+    shown = shown.withColumn("matched", F.size(F.filter("tokens", lambda t: F.lower("content").contains(t))).cast("long")).withColumnRenamed("question_id", "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("pair_hits"), "rank_sum", "score", "path", "chunk_index")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return shown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def retrieve_hits(index: Index, question: str, top_k: int = TOP_K, question_id: int = 0) -> DataFrame | None:
-    """Ranked hits of one question, None if it has no search tokens. Each fallback runs only if the one before is empty."""
-    if not question.strip():
+def retrieve_hits(index: Index, questions: Mapping[int, str], top_k: int = TOP_K) -> DataFrame | None:
+    """Ranked hits of all questions, None if none has a search token. Each fallback is one search for all questions that
+    have no hit so far: their identifiers are all that comes to the driver."""
+    if any(not q.strip() for q in questions.values()):
         raise ValueError("a question must not be blank")
-    tokens = tx.question_tokens(question)
-    if not tokens:
+    left = {k: t for k, q in questions.items() if (t := tx.question_tokens(q))}
+    if not left:
         return None
-    columns = ["query_id", "rank", "chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index", "content", "score"]
-    exact = search(index, {question_id: " ".join(tokens)}, limit=top_k).select(*columns)
-    if len(tokens) == 1 or not exact.isEmpty():
-        return exact
-    pairs = rank_candidates(index, question_id, tokens, top_k, False).select(*columns)
-    return pairs if not pairs.isEmpty() else rank_candidates(index, question_id, tokens, top_k, True).select(*columns)
+    out = None
+    for stage in (lambda t: search(index, {k: " ".join(x) for k, x in t.items()}, limit=top_k), lambda t: rank_candidates(index, t, top_k, False), lambda t: rank_candidates(index, t, top_k, True)):
+        found = written(stage(left).select(*HITS), "hits")  # at most top_k rows a question
+        out = found if out is None else out.unionByName(found)
+        hit = {r[0] for r in found.select("query_id").distinct().collect()}
+        left = {k: t for k, t in left.items() if k not in hit and len(t) > 1}
+        if not left:
+            break
+    return out
 
 
 PACKED = "query_id long, context string, truncated boolean, chunks array<struct<citation_id:int,chunk_id:long,path:string,filename:string,file_type:string,chunk_index:int,score:double,content:string,chunk_indexes:array<int>>>"
@@ -93,10 +103,7 @@ def retrieve(index: Index, questions: Mapping[int, str], *, top_k: int = TOP_K,
     """query_id, context, truncated, chunks for every question that finds something."""
     if top_k <= 0 or budget <= 0:
         raise ValueError("top_k and the budget must be positive")
-    found = [h for k, q in questions.items() if (h := retrieve_hits(index, q, top_k, k)) is not None]
-    if not found:
+    hits = retrieve_hits(index, questions, top_k)
+    if hits is None:
         return index.chunks.sparkSession.createDataFrame([], PACKED)
-    hits = found[0]
-    for h in found[1:]:
-        hits = hits.unionByName(h)
     return pack_context(neighbours(index.chunks, hits.drop("content")), budget)

@@ -2,11 +2,13 @@
 
 Tier 1 asks the token index for all of a query's tokens, tier 2 the raw index for all of its terms, and tier 3, for
 queries with CJK characters, scans contents. A query's results come from its first tier that has any after filters.
-Scores are negated BM25 with statistics of the whole index, so lower is better.
+Scores are negated BM25 with statistics of the whole index, so lower is better; ties go by path and place. Hits are ranked
+without their contents, which only the top ones are joined with.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,10 +18,16 @@ from ..functions import text as tx
 from .postings import TIERS, Index
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+SENT = 100_000  # rows of queries or of top hits up to which they are sent to every task
 
 
-def parsed(spark: SparkSession, queries: Mapping[int, str]) -> DataFrame:
-    """query_id, field, n_terms, term_no, n_tokens, place, term. A term without tokens leaves its tier without rows."""
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """Hints that a table of so many rows can be sent to every task; one of more is joined as Spark finds best."""
+    return F.broadcast(df) if rows <= SENT else df
+
+
+def parsed(spark: SparkSession, queries: Mapping[int, str]) -> tuple[DataFrame, int]:
+    """The queries' terms and how many there are: query_id, field, n_terms, term_no, n_tokens, place, term. A term without tokens leaves its tier without rows."""
     rows = []
     for query_id, query in queries.items():
         words = tx.query_terms(query)
@@ -29,56 +37,73 @@ def parsed(spark: SparkSession, queries: Mapping[int, str]) -> DataFrame:
             cut = [tx.plain_terms(p) for p in parts]
             if all(cut):
                 rows += [(query_id, field, len(cut), no, len(c), place, term) for no, c in enumerate(cut) for place, term in enumerate(c)]
-    return spark.createDataFrame(rows, "query_id long, field string, n_terms int, term_no int, n_tokens int, place int, term string")
+    return spark.createDataFrame(rows, "query_id long, field string, n_terms int, term_no int, n_tokens int, place int, term string"), len(rows)
 
 
 def idf(n_chunks: Column, df: Column) -> Column:
     return F.greatest(F.ln((n_chunks - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def matches(index: Index, asked: DataFrame) -> DataFrame:
+def matches(index: Index, asked: DataFrame, terms: int) -> DataFrame:
     """query_id, field, chunk_id, score of the chunks that hold all of a query's terms; phrases by adjacent places.
-    asked: from `parsed`; a user's queries, so small enough to be sent to every task."""
-    hits = index.postings.join(F.broadcast(asked), ["field", "term"]).select("query_id", "field", "n_terms", "term_no", "n_tokens", "place", "chunk_id", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
-    occurs = hits.groupBy("query_id", "field", "n_terms", "term_no", "n_tokens", "chunk_id").agg(F.collect_list("starts").alias("starts"))  # a row for each token of the term
-    occurs = occurs.where(F.size("starts") == F.col("n_tokens")).withColumn("f", F.size(F.aggregate(F.slice("starts", 2, 1_000_000), F.get("starts", F.lit(0)), lambda a, x: F.array_intersect(a, x)))).where("f > 0")
+    asked: from `parsed`, of so many terms."""
+    kept = ["query_id", "field", "n_terms", "term_no", "chunk_id", "length"]
+    hits = index.postings.join(few(asked, terms), ["field", "term"])
+    single = hits.where("n_tokens = 1").select(*kept, F.size("positions").alias("f"))
+    starts = F.transform("positions", lambda p: p - F.col("place"))
+    phrase = hits.where("n_tokens > 1").groupBy(*kept, "n_tokens").agg(F.collect_list(starts).alias("starts"))  # a row for each token of the term
+    common = F.aggregate(F.slice("starts", 2, 1_000_000), F.get("starts", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+    occurs = single.unionByName(phrase.where(F.size("starts") == F.col("n_tokens")).select(*kept, F.size(common).alias("f")).where("f > 0"))
     df = occurs.groupBy("query_id", "field", "term_no").agg(F.count("*").alias("df"))  # a row for each query term
-    scored = occurs.join(F.broadcast(df), ["query_id", "field", "term_no"]).join(index.lengths, ["field", "chunk_id"]).join(F.broadcast(index.stats), "field")
+    scored = occurs.join(few(df, terms), ["query_id", "field", "term_no"]).join(F.broadcast(index.stats), "field")  # two rows
     weight = idf(F.col("n_chunks"), F.col("df")) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return scored.groupBy("query_id", "field", "chunk_id", "n_terms").agg(F.count("*").alias("n"), (-F.sum(weight)).alias("score")).where("n = n_terms").select("query_id", "field", "chunk_id", "score")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("term_no", weight.alias("w")))), lambda x: x["w"])  # a row for each query term
+    total = F.aggregate(in_order, F.lit(0.0), lambda a, w: a + w)  # in one order, so that equal chunks score alike to the last bit
+    return scored.groupBy("query_id", "field", "chunk_id", "n_terms").agg(F.count("*").alias("n"), (-total).alias("score")).where("n = n_terms").select("query_id", "field", "chunk_id", "score")
 
 
 def document_filter(documents: DataFrame, file_type: str | None = None, path: str | None = None) -> DataFrame:
-    """By type and by path: a path ending in / names a directory, any other a file."""
+    """By type and by path, which is made absolute: one that is a directory here, or ends in a separator, takes the files
+    below it (case as it is), any other is a file."""
     if file_type is not None:
         documents = documents.where(F.col("file_type") == file_type.lower().lstrip("."))
     if path is not None:
-        documents = documents.where(F.col("path").startswith(path) if path.endswith("/") else F.col("path") == path)
+        own = os.path.realpath(os.path.expanduser(path))
+        below = own.rstrip(os.sep) + os.sep
+        documents = documents.where(F.col("path").startswith(below) if path.endswith(os.sep) or os.path.isdir(own) else F.col("path") == own)
     return documents
 
 
 def scanned(index: Index, spark: SparkSession, queries: Mapping[int, str]) -> DataFrame | None:
-    """Tier 3: chunks whose contents are LIKE every term, for queries with CJK characters."""
-    out = None
-    for query_id, query in queries.items():
-        if any("一" <= c <= "鿿" for c in query):
-            own = index.chunks.where(tx.like_all(F.col("content"), query)).select(F.lit(query_id).cast("long").alias("query_id"), F.lit(3).alias("tier"), "chunk_id", F.lit(0.0).alias("score"))
-            out = own if out is None else out.unionByName(own)
-    return out
+    """Tier 3: chunks whose contents are LIKE every term, for queries with CJK characters. One scan for all of them."""
+    asked = [F.when(tx.like_all(F.col("content"), query), F.lit(query_id).cast("long")) for query_id, query in queries.items() if any("一" <= c <= "鿿" for c in query)]
+    if not asked:
+        return None
+    found = index.chunks.select("chunk_id", F.explode(F.filter(F.array(*asked), lambda q: q.isNotNull())).alias("query_id"))
+    return found.select("query_id", F.lit(3).alias("tier"), "chunk_id", F.lit(0.0).alias("score"))
 
 
-def search(index: Index, queries: Mapping[int, str], *, limit: int = 10, file_type: str | None = None, path: str | None = None) -> DataFrame:
-    """query_id, rank, tier, chunk_id, doc_id, path, filename, file_type, chunk_index, content, score, best first."""
+def ranked(index: Index, queries: Mapping[int, str], *, limit: int = 10, file_type: str | None = None, path: str | None = None) -> DataFrame:
+    """query_id, rank, tier, chunk_id, doc_id, path, filename, file_type, chunk_index, score, best first."""
     if limit <= 0:
         raise ValueError("the limit must be positive")
     spark = index.chunks.sparkSession
-    asked = parsed(spark, queries)
+    asked, terms = parsed(spark, queries)
     tier = F.when(F.col("field") == "token", TIERS["token"]).otherwise(TIERS["raw"])
-    found = matches(index, asked).select("query_id", tier.alias("tier"), "chunk_id", "score")
+    found = matches(index, asked, terms).select("query_id", tier.alias("tier"), "chunk_id", "score")
     if (third := scanned(index, spark, queries)) is not None:
         found = found.unionByName(third)
-    kept = found.join(index.chunks.select("chunk_id", "doc_id", "chunk_index", "content"), "chunk_id").join(document_filter(index.documents, file_type, path).select("doc_id", "path", "filename", "file_type"), "doc_id")
+    places = index.chunks.select("chunk_id", "doc_id", "chunk_index").join(document_filter(index.documents, file_type, path).select("doc_id", "path", "filename", "file_type"), "doc_id")
+    kept = found.join(places, "chunk_id")
+    # the best of each tier first, which a task can thin before the shuffle; then the first tier's
+    best = Window.partitionBy("query_id", "tier").orderBy("score", "path", "chunk_index")
+    top = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     first = F.min("tier").over(Window.partitionBy("query_id"))
-    kept = kept.withColumn("first", first).where("tier = first").withColumn("score", F.round("score", 9))
-    order = Window.partitionBy("query_id").orderBy("score", "path", "chunk_index")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "tier", "chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index", "content", "score")
+    return top.withColumn("first", first).where("tier = first").select("query_id", "rank", "tier", "chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index", "score")
+
+
+def search(index: Index, queries: Mapping[int, str], *, limit: int = 10, file_type: str | None = None, path: str | None = None) -> DataFrame:
+    """query_id, rank, tier, chunk_id, doc_id, path, filename, file_type, chunk_index, content, score, best first."""
+    top = ranked(index, queries, limit=limit, file_type=file_type, path=path)
+    shown = index.chunks.select("chunk_id", "content").join(few(top, len(queries) * limit), "chunk_id")
+    return shown.select("query_id", "rank", "tier", "chunk_id", "doc_id", "path", "filename", "file_type", "chunk_index", "content", "score")

@@ -1,21 +1,31 @@
-"""An index as versioned Parquet snapshots. A writer makes a whole new version and then moves one small file, so readers
-see the old version or the new one. Without changes in a table's rows only the tables in question are written anew."""
+"""An index as versioned Parquet snapshots. A writer makes a whole new version and then adds an empty file that marks it as
+complete, so readers see the version before or the new one, whole, and a writer that fails leaves the one before as it was.
+New texts alone are analysed; the rows of the others are copied. Of two writers that began from one version the second
+fails and may try again."""
 
 from __future__ import annotations
 
+import logging
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.chunking import OVERLAP, SIZE, chunked
-from ..operators.postings import Index, lengths, postings, stats
+from ..operators.postings import Index, analysed, build, lengths, postings, stats
 from ..sources import files as fs
+from .shared import written
+
+log = logging.getLogger(__name__)
 
 DOCUMENTS = "doc_id long, path string, filename string, file_type string, sha256 string, size long, modified_ns long, parser_fingerprint string, indexed_at timestamp"
 CHUNKS = "doc_id long, chunk_index int, content string, start_offset long, chunk_id long"
-POSTINGS = "field string, term string, chunk_id long, positions array<int>"
+POSTINGS = "field string, term string, chunk_id long, length long, positions array<int>"
 LENGTHS = "field string, chunk_id long, length long"
 STATS = "field string, n_chunks long, avg_length double"
+POSTINGS_A_TASK, KEPT = 4_000_000, 3
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "stats": STATS}
 
 
@@ -37,58 +47,89 @@ class Store:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _versions(self, mark: str = "_COMPLETE") -> list[int]:
+        system, root = self._fs(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not system.exists(root):
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and system.exists(self._path(f"{n}/{mark}")))
+
+    def _mark(self, v: int, name: str) -> bool:
+        """Creates an empty file; False if it is there."""
+        try:
+            self._fs().create(self._path(f"v={v}/{name}"), False).close()
+        except Py4JJavaError as e:
+            if "Exists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
     def version(self) -> int:
         """The current version, 0 before the first."""
-        if not self._fs().exists(self._path("CURRENT")):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return max(self._versions(), default=0)
 
-    def read(self) -> Index:
-        """The current version; a reader keeps it while writers go on."""
-        v = self.version()
+    def read(self, version: int | None = None) -> Index:
+        """The current version; a reader keeps it while writers go on, as the last few stay."""
+        v = self.version() if version is None else version
         if not v:
-            documents, chunks = self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS)
-            length = lengths(chunks)
-            return Index(documents, chunks, postings(chunks), length, stats(length))
+            return build(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS))
         return Index(*[self.spark.read.schema(s).parquet(f"{self.root}/v={v}/{t}") for t, s in TABLES.items()])  # given, since a table may hold no rows
 
-    def commit(self, documents: DataFrame, chunks: DataFrame, posted: DataFrame | None = None, length: DataFrame | None = None) -> int:
-        """Writes a version and makes it current."""
-        v = self.version() + 1
-        base = f"{self.root}/v={v}"
-        documents.write.mode("overwrite").parquet(f"{base}/documents")
-        chunks.write.mode("overwrite").parquet(f"{base}/chunks")
-        chunks = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks")
-        posted = postings(chunks) if posted is None else posted
-        # terms lie together and in order, so that a query's terms prune files and row groups
-        posted.repartition("field", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{base}/postings")
-        (lengths(chunks) if length is None else length).write.mode("overwrite").parquet(f"{base}/lengths")
-        stats(self.spark.read.schema(LENGTHS).parquet(f"{base}/lengths")).write.mode("overwrite").parquet(f"{base}/stats")
-        system, new = self._fs(), self._path("CURRENT.new")
-        out = system.create(new, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        if system.exists(self._path("CURRENT")):
-            system.delete(self._path("CURRENT"), False)
-        system.rename(new, self._path("CURRENT"))
+    def commit(self, documents: DataFrame, chunks: DataFrame, known: Index | None = None, base: int | None = None) -> int:
+        """Writes a version and makes it current. chunks: those to be analysed; known: chunks, postings and lengths that are
+        taken over; base: the version that all this was read from."""
+        base, v = self.version() if base is None else base, max(self._versions("_CLAIMED"), default=0) + 1
+        while not self._mark(v, "_CLAIMED"):
+            v += 1
+        at = f"{self.root}/v={v}"
+        documents.write.mode("overwrite").parquet(f"{at}/documents")
+        columns = ["doc_id", "chunk_index", "content", "start_offset", "chunk_id"]
+        fresh = chunks.select(*[c if c in chunks.columns else F.lit(0).cast("long").alias(c) for c in columns])
+        fresh.write.mode("overwrite").parquet(f"{at}/chunks")
+        # once for each new chunk; postings and lengths are both made from it
+        forward = written(analysed(self.spark.read.schema(CHUNKS).parquet(f"{at}/chunks")), "analysed")
+        posted, length = postings(forward), lengths(forward)
+        if known is not None:
+            known.chunks.select(*columns).write.mode("append").parquet(f"{at}/chunks")
+            posted, length = posted.unionByName(known.postings), length.unionByName(known.lengths)
+        length.write.mode("overwrite").parquet(f"{at}/lengths")
+        length = self.spark.read.schema(LENGTHS).parquet(f"{at}/lengths")
+        # terms lie together and in order, so that a query's terms prune files and row groups; ranges cut inside a common
+        # term too, and their number follows the postings, of which a chunk has fewer than its length
+        width = max(8, -(-(length.agg(F.sum("length")).first()[0] or 0) // POSTINGS_A_TASK))
+        posted.repartitionByRange(width, "field", "term", "chunk_id").sortWithinPartitions("field", "term", "chunk_id").write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
+        stats(length).write.mode("overwrite").parquet(f"{at}/stats")
+        if self.version() != base:
+            raise RuntimeError(f"another writer made version {self.version()} from version {base}")
+        self._mark(v, "_COMPLETE")
+        for old in self._versions()[:-KEPT]:
+            self._fs().delete(self._path(f"v={old}"), True)
         return v
 
-    def replace(self, raw: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, gone: DataFrame | None = None) -> int:
+    def replace(self, raw: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, gone: DataFrame | None = None, parts: DataFrame | None = None) -> int:
         """raw: path, filename, file_type, sha256, size, modified_ns, parser_fingerprint, text. Documents of these paths
-        (and of `gone`) are replaced; a text without chunks removes its document. Only new texts are analysed."""
-        old = self.read()
-        new = raw.withColumn("doc_id", F.xxhash64("path")).withColumn("text", tx.clean(F.col("text")))
-        cut = chunked(new, size=size, overlap=overlap)
+        (and of `gone`) are replaced; a text without chunks removes its document. Only new texts are analysed.
+        parts: path, part, text of documents whose texts come in parts that no chunk may join."""
+        base = self.version()
+        old = self.read(base)
+        new = raw.withColumn("doc_id", F.xxhash64("path"))
+        whole = new if parts is None else new.join(parts.select("path").distinct(), "path", "left_anti")
+        cut = chunked(whole.withColumn("text", tx.clean(F.col("text"))), size=size, overlap=overlap)
+        if parts is not None:
+            own = parts.join(raw.select("path"), "path", "left_semi").select(F.xxhash64("path").alias("doc_id"), "part", tx.clean(F.col("text")).alias("text"))
+            cut = cut.unionByName(chunked(own, part="part", size=size, overlap=overlap))
+        cut = written(cut, "chunks")  # read for its documents and to be indexed
         fresh = new.join(cut, "doc_id", "left_semi").withColumn("indexed_at", F.current_timestamp()).select(*old.documents.columns)
         touched = raw.select("path") if gone is None else raw.select("path").unionByName(gone.select("path"))
         ids = touched.select(F.xxhash64("path").alias("doc_id")).distinct()
         dropped = old.chunks.join(ids, "doc_id", "left_semi").select("chunk_id")
         keep = lambda df: df.join(dropped, "chunk_id", "left_anti")
-        return self.commit(old.documents.join(ids, "doc_id", "left_anti").unionByName(fresh), keep(old.chunks).unionByName(cut.select(*old.chunks.columns)), keep(old.postings).unionByName(postings(cut)), keep(old.lengths).unionByName(lengths(cut)))
+        known = Index(old.documents, keep(old.chunks), keep(old.postings), keep(old.lengths), old.stats) if base else None
+        return self.commit(old.documents.join(ids, "doc_id", "left_anti").unionByName(fresh), cut, known, base)
 
     def remove(self, path: str) -> bool:
         """Whether a document of this path was there to be removed."""
-        found = self.read().documents.where(F.col("path") == path)
+        found = self.read().documents.where(F.col("path") == os.path.realpath(os.path.expanduser(path)))
         if found.isEmpty():
             return False
         self.replace(self._none(), gone=found.select("path"))
@@ -105,7 +146,7 @@ class Store:
     def _none(self) -> DataFrame:
         return self.spark.createDataFrame([], "path string, filename string, file_type string, sha256 string, size long, modified_ns long, parser_fingerprint string, text string")
 
-    def index(self, inputs: list[str], *, profile=None, size: int = SIZE, overlap: int = OVERLAP, force: bool = False, exclude_dirs=(), exclude_files=(), max_files: int | None = None, max_json: int = fs.MAX_JSON) -> dict[str, int]:
+    def index(self, inputs: list[str], *, profile=None, size: int = SIZE, overlap: int = OVERLAP, force: bool = False, exclude_dirs=(), exclude_files=(), max_files: int | None = None, max_json: int = fs.MAX_JSON, probe: int = fs.MAX_JSON) -> dict[str, int]:
         """Brings the files up to date; returns how many have each status. A file that fails keeps its old rows."""
         from ..operators.json_records import extracted
 
@@ -115,13 +156,24 @@ class Store:
         if force:
             found = found.withColumn("status", F.when(F.col("status") == "skipped", "to_index").otherwise(F.col("status")))
         todo = found.where("status = 'to_index'").withColumn("r", fs.read_text("content", "file_type")).select("*", "r.text", "r.error").drop("content", "r")
+        parts = None
         if profile is not None:
-            records = extracted(todo.where("file_type = 'json' AND error IS NULL"), profile)
-            joined = records.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "block_no", "text"))), lambda r: r["text"]), profile.separator).alias("_json"), F.max("error").alias("_error"))
-            todo = todo.join(joined, "path", "left").withColumn("text", F.when(F.col("file_type") == "json", F.coalesce("_json", F.lit(""))).otherwise(F.col("text"))).withColumn("error", F.coalesce("error", "_error")).drop("_json", "_error")
+            records = written(extracted(todo.where("file_type = 'json' AND error IS NULL"), profile, probe), "records")
+            faults = records.where("error IS NOT NULL").groupBy("path").agg(F.max("error").alias("_error"))
+            block = F.struct("record_no", "block_no", "text")
+            by_file = lambda *by: records.where("error IS NULL").groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(block)), lambda r: r["text"]).alias("blocks"))  # noqa: E731  of a file, whose size is bounded
+            if profile.index_mode == "record":
+                parts = by_file("path", "record_no").select("path", F.col("record_no").alias("part"), F.array_join("blocks", "").alias("text"))
+                texts = records.where("error IS NULL").groupBy("path").agg(F.max(F.when(tx.clean(F.col("text")) != "", "x")).alias("_json"))
+            else:
+                texts = by_file("path").select("path", F.array_join("blocks", profile.separator).alias("_json"))
+            todo = todo.join(texts, "path", "left").join(faults, "path", "left").withColumn("text", F.when(F.col("file_type") == "json", F.coalesce("_json", F.lit(""))).otherwise(F.col("text"))).withColumn("error", F.coalesce("error", "_error")).drop("_json", "_error")
+        todo = written(todo.drop("ordinal"), "texts")  # read for the counts and to be indexed
         good = todo.where("error IS NULL")
         outcome = todo.select(F.when(F.col("error").isNotNull(), "failed").when(tx.clean(F.col("text")) == "", "empty").otherwise("indexed").alias("status")).unionByName(found.where("status <> 'to_index'").select("status"))
         totals = {r["status"]: r["n"] for r in outcome.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        for path, error in [tuple(r) for r in todo.where("error IS NOT NULL").select("path", "error").limit(100).collect()]:
+            log.warning("%s: %s", path, error)
         if totals.get("indexed", 0) + totals.get("empty", 0):
-            self.replace(good, size=size, overlap=overlap)
+            self.replace(good, size=size, overlap=overlap, parts=parts)
         return {"files_found": len(paths)} | {k: totals.get(k, 0) for k in ("indexed", "skipped", "empty", "failed", "oversized")}
