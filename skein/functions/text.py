@@ -123,8 +123,8 @@ def like_all(content: Column, query: str) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Numbers cited as [n], in order, with repeats."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))
+    """Numbers cited as [n], in order, with repeats; one beyond all longs is the largest long, which no source has."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("long"), F.lit(2**63 - 1)))
 
 
 def citation_label(number: Column, filename: Column, chunks: Column) -> Column:

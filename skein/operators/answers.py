@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +71,7 @@ def citation_error(answer: Column, available: Column) -> Column:
     """Null for a valid answer, else what is wrong: 'invalid:' and the ids not retrieved, or 'missing'. A refusal needs
     no citation, but may not cite what was not retrieved."""
     cited = tx.citations(F.coalesce(answer, F.lit("")))
-    strange = F.array_sort(F.array_except(cited, available))
+    strange = F.array_sort(F.array_except(cited, available.cast("array<long>")))
     said = F.concat(F.lit("invalid:"), F.array_join(F.transform(strange, lambda x: x.cast("string")), ","))
     return F.when(F.size(strange) > 0, said).when(~refused(answer) & (F.size(cited) == 0), F.lit("missing"))
 
@@ -101,6 +104,17 @@ def hidden(value, key: str, url: str):
     return [hidden(v, key, url) for v in value] if isinstance(value, (list, tuple)) else value
 
 
+def audit_table(path: str) -> Callable[[str], None]:
+    """An audit sink that adds each record's line to a text file, which `sources.files.audit_records` reads as a table."""
+
+    def add(line: str) -> None:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path, "a", encoding="utf-8") as file:
+            file.write(f"{datetime.now(UTC).isoformat(timespec='milliseconds')} {line}\n")
+
+    return add
+
+
 def ask(index: Index, question: str, client: Client | None = None, settings: Settings | None = None, *, audit: Callable[[str], None] = lambda line: None, key: str = "", url: str = "") -> dict:
     """Answers one question. Without hits the refusal is returned and no model asked. Every outcome is one audit line."""
     settings, began = settings or Settings(), time.perf_counter()
@@ -113,7 +127,7 @@ def ask(index: Index, question: str, client: Client | None = None, settings: Set
             if client is None:
                 raise ModelError("no model is configured")
             answer, usage = response(client(messages(question, row["context"]), settings.temperature))
-            is_refusal, cited = answer.startswith(REFUSAL_PREFIX), {int(x) for x in __import__("re").findall(r"\[(\d+)\]", answer)}
+            is_refusal, cited = answer.startswith(REFUSAL_PREFIX), {int(x) for x in re.findall(r"\[([0-9]+)\]", answer)}
             if strange := sorted(cited - {c["citation_id"] for c in chunks}):
                 raise CitationError(f"cited, but not retrieved: {strange}")
             if not is_refusal and not cited:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 import json
@@ -197,6 +198,20 @@ def extracted(files: DataFrame, profile: Profile, probe_bytes: int = 512 << 20,
     return files.select("path", "text").mapInArrow(work, "path string, record_no long, block_no int, text string, error string")
 
 
+def raw_records(files: DataFrame, probe_bytes: int = 512 << 20) -> DataFrame:
+    """record_no and text, as it stands in the file, of every record up to a fault or one longer than the probe."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text in (t.removeprefix("\ufeff") for b in batches for t in b.column(0).to_pylist() if t):
+            with contextlib.suppress(ValueError):
+                for n, (low, high) in enumerate(record_places(text)):
+                    if len(text[low:high].encode()) > probe_bytes:
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([text[low:high]])], ["record_no", "text"])
+
+    return files.select("text").mapInArrow(work, "record_no long, text string")
+
+
 def preview(files: DataFrame, profile: Profile, limit: int = 5, probe_bytes: int = 512 << 20) -> DataFrame:
     """The first records by file and place; with index_mode 'file' the first records of each file as one text."""
     if limit <= 0:

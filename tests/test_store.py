@@ -81,3 +81,121 @@ def test_stream(spark, tree):
     store = Store(spark, f"file://{tree}/store")
     watch(spark, str(tree / "in"), store, str(tree / "ckpt")).awaitTermination()
     assert {r["filename"] for r in store.read().documents.collect()} >= {"a.txt", "b.md"}
+
+
+def test_record_mode(spark, tmp_path):
+    """Records are chunked each on its own and numbered on; a long one comes raw; a broken file keeps what it had."""
+    folder, store = tmp_path / "in", Store(spark, f"file://{tmp_path}/store")
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"t": "one"}, {"t": "two"}, {"x": 1}, {"t": "three"}]', encoding="utf-8")
+    (folder / "b.txt").write_text("plain", encoding="utf-8")
+    listed = lambda: sorted((r["filename"], r["chunk_index"], r["content"]) for r in store.read().chunks.join(store.read().documents, "doc_id").collect())
+    config = {"fields": ["t"]}
+    assert store.index([str(folder)], profile=Profile.from_config(config))["indexed"] == 2
+    assert listed() == [("a.json", 0, "one"), ("a.json", 1, "two"), ("a.json", 2, "three"), ("b.txt", 0, "plain")]
+    assert store.index([str(folder)], profile=Profile.from_config(config | {"index_mode": "file"}), force=True)["indexed"] == 2
+    assert listed() == [("a.json", 0, "one\ntwo\nthree"), ("b.txt", 0, "plain")]
+    (folder / "a.json").write_text('[{"t": "one"}, {"t":  "%s"}]' % ("é" * 60), encoding="utf-8")
+    assert store.index([str(folder)], profile=Profile.from_config(config), probe=100)["indexed"] == 2
+    assert listed()[:2] == [("a.json", 0, "one"), ("a.json", 1, '{"t": "%s"}' % ("é" * 60))]
+    (folder / "a.json").write_text('[{"t": "new"}, {"t": ', encoding="utf-8")
+    assert store.index([str(folder)], profile=Profile.from_config(config))["failed"] == 1 and listed()[0][2] == "one"
+
+
+def test_readers_and_writers(spark, tmp_path):
+    """A reader sees whole versions only; of two writers from one version the second fails."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    raw = lambda text: spark.createDataFrame([("/a.txt", "a.txt", "txt", text, 1, 1, "", text)], "path string, filename string, file_type string, sha256 string, size long, modified_ns long, parser_fingerprint string, text string")
+    store.replace(raw("first"))
+    seen, commit = [], store.commit
+
+    def while_writing(*args):
+        seen.append((store.version(), [r["content"] for r in store.read().chunks.collect()]))
+        Store(spark, store.root).replace(raw("between"))
+        return commit(*args)
+
+    store.commit = while_writing
+    with pytest.raises(RuntimeError):
+        store.replace(raw("second"))
+    assert seen == [(1, ["first"])] and [r["content"] for r in Store(spark, store.root).read().chunks.collect()] == ["between"]
+    (tmp_path / "store" / "v=9").mkdir()  # a writer that failed
+    assert store.version() == 2
+
+
+def test_directory_filter(spark, tmp_path):
+    store, folder = Store(spark, f"file://{tmp_path}/store"), tmp_path / "in"
+    for name in ("one/a.txt", "one/b.txt", "one_more/c.txt"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text("same words", encoding="utf-8")
+    store.index([str(folder)])
+    names = lambda path: sorted(r["filename"] for r in search(store.read(), {0: "same"}, path=path).collect())
+    assert names(str(folder / "one")) == names(f"{folder}/one/") == names(f"{folder}/two/../one") == ["a.txt", "b.txt"]
+    assert names(str(folder / "one/a.txt")) == ["a.txt"] and names(str(folder / "none")) == []
+
+
+def test_evaluation_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    from skein import cli
+    from skein.operators import evaluation
+    from skein.operators.client import HttpClient, settings
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("The ratio is 3:1 and blue.", encoding="utf-8")
+    (tmp_path / "e.json").write_text('[{"a": {"b c": [1, "x"]}}, {"a": null}, {"a": 2}]', encoding="utf-8")
+    (tmp_path / "p.json").write_text('{"fields": [{"name": "A", "path": "$.a"}]}', encoding="utf-8")
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "c1", "kind": "fact", "question": "ratio blue", "expected_source": "a.md", "facts": [{"label": "r", "answer_any": ["3:1"], "evidence_any": ["ratio is 3:1"]}]}, {"id": "c2", "kind": "refusal", "question": "zzzz", "expected_sources": [], "expected_refused": True}]), encoding="utf-8")
+    client = lambda messages, temperature: {"choices": [{"message": {"content": "It is 3:1 [1]"}}], "usage": {"total_tokens": 7}}
+
+    def call(*args):
+        code = cli.run(cli.parser().parse_args([*args, "--db", "store"]), spark, client)
+        return code, capsys.readouterr().out
+
+    assert call("init-db")[0] == 0 and call("index", "in")[0] == 0
+    assert "[[ratio]]" in call("search", "ratio", "--no-color", "--path", "in")[1] and call("search", "ratio", "--path", "elsewhere")[1] == ""
+    assert call("ask", "ratio blue", "--top-k", "2", "--log-file", "audit/x.log")[1].startswith("It is 3:1 [1]\n[1] a.md")
+    assert fs.audit_records(spark, str(tmp_path / "audit/x.log"), answers.MARKER, evaluation.RECORD).select("question").collect() == [("ratio blue",)]
+    assert call("json-preview", "e.json", "--json-config", "p.json", "--limit", "2")[1] == 'A: {"b c": [1, "x"]}\nA: 2\n'
+    out = call("json-structure", "e.json", "--max-records", "2")[1]
+    assert '"complete": false' in out and '$.a["b c"][*]\tinteger\t1' in out and "$.a\tnull\t1" in out and "$.a\tinteger" not in out
+    assert '"complete": true' in call("json-structure", "e.json")[1]
+    with pytest.raises(ValueError):
+        call("json-preview", "e.json", "--json-config", "p.json", "--json-record-probe-size", "9")
+    code, _ = call("eval", "cases.json")
+    first, second = map(json.loads, (tmp_path / "cleaned.jsonl").read_text(encoding="utf-8").splitlines())
+    assert first["passed"] and first["cited_evidence"][0]["excerpt"].endswith("The ratio is 3:1 and blue.") and second["refusal_correct"] and not second["citations_valid"]
+    assert "cases passed: 1/2" in (tmp_path / "report.md").read_text() and code == 1
+    assert [r.matched for r in evaluation.without_context(evaluation.cases(spark, "cases.json"), client).orderBy("case_id").collect()] == [["r"], []]
+    (tmp_path / "in/a.md").unlink()
+    assert call("prune")[1] == "1\n" and call("check-db") == (0, "healthy\n") and call("list")[1] == "" and call("remove", "in/a.md")[0] == 1
+    (tmp_path / ".env").write_text("LLM_API_KEY='k'\nexport LLM_MODEL=m\n")
+    known = settings(str(tmp_path), {"LLM_MODEL": "own"})
+    assert known == {"LLM_API_KEY": "k", "LLM_MODEL": "own"}
+    with pytest.raises(answers.ModelError, match="LLM_BASE_URL"):
+        HttpClient.from_settings(known)
+    with pytest.raises(answers.ModelError, match="could not be asked") as e:
+        HttpClient("k3y", "http://127.0.0.1:9", "m", 2)([], 0)
+    assert "127.0.0.1:9/" not in str(e.value)
+
+
+def test_excerpt(spark):
+    from pyspark.sql import functions as F
+
+    from skein.functions import text as tx
+
+    words = " ".join(f"w{i:03d}" for i in range(200))
+    facts = [[["none", "w050"]], [["w010"], ["w150"]], [["w020"], ["w045"]], [["absent"]], None, [["w 0 60"]], [["w199"], ["w000"]]]
+    rows = spark.createDataFrame([(k, f" {words}\n ", f) for k, f in enumerate(facts)] + [(9, None, [["x"]])], "k int, t string, f array<array<string>>")
+    at = lambda *spans: " ... ".join(words[max(0, 5 * a - 70) : min(len(words), 5 * b + 150)].strip() for a, b in spans)
+    true = [at((50, 50)), at((10, 10), (150, 150)), at((20, 45)), words[:400], words[:400], at((60, 60)), at((0, 0), (199, 199)), ""]
+    assert [r[0] for r in rows.select("k", tx.relevant_excerpt(F.col("t"), F.col("f")).alias("e")).orderBy("k").select("e").collect()] == true
+
+
+def test_sources(spark, tmp_path):
+    """Catalogue, sizes, and PDF and PPTX where their packages are missing."""
+    (tmp_path / "c.json").write_text('{"datasets": [{"name": "a", "size_gb": 1.5}, {"name": "b", "size_gb": 2}]}')
+    assert sorted(map(tuple, fs.catalogue(spark, str(tmp_path / "c.json")).select("name", "size_gb").collect())) == [("a", 1.5), ("b", 2.0)]
+    for name in ("x.pdf", "y.pptx"):
+        (tmp_path / name).write_bytes(b"nothing of the kind")
+    (tmp_path / "z.txt").write_bytes("中文".encode("gb18030"))
+    stats = Store(spark, f"file://{tmp_path}/store").index([str(tmp_path)], max_json=10)
+    assert (stats["failed"], stats["indexed"]) == (2, 1)
