@@ -18,11 +18,11 @@ Runs of unlike anchors share no window. A partition holds about one run of 29 by
 gets `PART_BYTES` at most.
 
 Passages. A second, shorter length may be asked for, whose repeats are measured and not removed. A maximal run of them with
-more than `PASSAGE_WORDS` whole words is a passage (`PASSAGE` is 200 bytes, which hardly any fifty words fall short of).
+more than `PASSAGE_WORDS` whole words is a passage (`PASSAGE` is 240 bytes, which hardly any fifty words fall short of).
 The short repeats are found first, and the long ones only within them: a string recurs only where all shorter ones inside
 it do, so the second search reads just stretches of repeated short windows.
 
-Equality is of 128 bits of hash (the two tokens, or two window hashes). Hashes are prefix sums over scrambled 8-byte
+Equality is of 128 bits of hash for runs (the two tokens) and of 96 for windows (two hashes, one of them cut to half). Hashes are prefix sums over scrambled 8-byte
 strings, so that no pattern of bytes adds up to the same sum by its structure. Rows are told apart by 128 bits.
 
 Cases: a null or empty text, and one shorter than `length`, loses nothing; a very long text is handled in blocks of windows
@@ -47,7 +47,7 @@ from .common import Scratch, carrying, small, sound_key, staged, table, unstage,
 from .neardup import mix
 
 LENGTH, CHOICES = 400, 65
-PASSAGE, PASSAGE_WORDS = 200, 50
+PASSAGE, PASSAGE_WORDS = 240, 50
 SAMPLE_RUNS = 200_000
 PART_BYTES = 64 << 20
 BLOCK, UNIT = 1 << 20, 8
@@ -252,10 +252,10 @@ def repeated_windows(docs: DataFrame, rows: int, size: int, *, length: int = LEN
                 data = np.frombuffer(text.encode(), np.uint8)
                 start = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
                 weight = np.concatenate([np.full(r["n"], r["weight"]) for r in runs])
-                one, two = (Prefix(data, k).of(start, start + length).view(np.int64) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32)), pa.array(weight.astype(np.int32))], ["one", "two", "_row", "start", "weight"])
+                one, two = (Prefix(data, k).of(start, start + length) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> U(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32)), pa.array(weight.astype(np.int32))], ["one", "two", "_row", "start", "weight"])
 
-    explicit = scratch(docs.select("_row", "text").where(F.length("text") > 0).join(asked, "_row").select("_row", "text", "asked").mapInArrow(windows, "one long, two long, _row long, start int, weight int"), "windows")
+    explicit = scratch(docs.select("_row", "text").where(F.length("text") > 0).join(asked, "_row").select("_row", "text", "asked").mapInArrow(windows, "one long, two int, _row long, start int, weight int"), "windows")
     release(spark)
     again = explicit.groupBy("one", "two").agg(F.sum("weight").alias("total")).where("total > 1").select("one", "two")
     hits = explicit.where("weight = 1").join(again, ["one", "two"]).select("_row", "start", F.lit(1).alias("n"))
@@ -289,13 +289,17 @@ def whole_words(data: bytes, start: int, end: int) -> int:
     return max(0, n - cut(start) - cut(end))
 
 
-def stretches(runs: list[dict], short: int, length: int) -> list[dict]:
-    """Regions of at least `length` bytes in which every `short`-byte string recurs."""
-    return [{"start": a, "end": b - 1 + short} for a, b in merged(runs, 1) if b - 1 + short - a >= length]
+def joined_runs(found: DataFrame) -> DataFrame:
+    """_row, runs: each row's runs of window starts, those that touch joined."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+        for b in small(batches):
+            runs = [[{"start": a, "n": e - a} for a, e in merged(x, 1)] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, kind)], ["_row", "runs"])
 
-def runs_by_row(found: DataFrame) -> DataFrame:
-    return found.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))  # runs of one text
+    listed = found.groupBy("_row").agg(F.collect_list(F.struct("start", "n")))  # runs of one text
+    return listed.mapInArrow(work, "_row long, runs array<struct<start:int,n:int>>")
 
 
 def cut_repeats(docs: DataFrame, *, length: int = LENGTH, choices: int = CHOICES, passage: int | None = None) -> DataFrame:
@@ -308,58 +312,44 @@ def _cut(docs: DataFrame, length: int, choices: int, passage: int | None) -> Dat
     if passage is not None and not passage < length:
         raise ValueError("the passage length must be below the length")
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    keys = hashed(docs).agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    rows, size = keys[0], keys[1] or 0
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     row = sound_key(hashed(docs.select("doc_id", "text")).select("_row", "_check"), "_row", "_check")
     docs = hashed(docs).withColumn("_row", row).drop("_check")
+    first = repeated_windows(docs.withColumn("regions", F.lit(None).cast(REGIONS)), rows, size or 0, length=passage or length, choices=choices)
+    short = staged(joined_runs(first), "short")  # the result reads it
+    long_ = short
+    if passage is not None:
+        least = length - passage + 1  # so many starts of short repeats in a row make a stretch of `length` bytes
+        regions = F.transform(F.filter("runs", lambda r: r["n"] >= least), lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"] + (passage - 1)).alias("end")))
+        stretches = docs.select("_row", "text").join(short.select("_row", regions.alias("regions")).where(F.size("regions") > 0), "_row")
+        inside = staged(stretches.select("_row", "text", "regions"), "stretches")
+        second = repeated_windows(inside, *inside.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first(), length=length, choices=choices)
+        long_ = staged(joined_runs(second), "long")  # the result reads it
+        for done in (inside, second):
+            unstage(done)
+    unstage(first)
+    release(docs.sparkSession)
+
     new = {"kept": T.BinaryType()} | {n: T.LongType() for n in ("n_bytes", "n_removed", "n_spans", *(("n_passage_bytes", "n_passages") if passage else ()))}
     carried = [f for f in docs.schema.fields if f.name not in ("text", "_row")]
-    everywhere = F.lit(None).cast(REGIONS).alias("regions")
+    names = [*(f.name for f in carried), "text", *new]
+    schema = T.StructType([*carried, T.StructField("text", T.StringType()), *(T.StructField(n, t) for n, t in new.items())])
+    joined = docs.join(long_.withColumnRenamed("runs", "_long"), "_row", "left").join(short.withColumnRenamed("runs", "_short"), "_row", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(carried)
         for b in small(batches):
-            kept, sizes, spans_of = [], [], []
-            for text, runs in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True):
+            kept, numbers = [], []
+            for text, runs, near in zip(*(b.column(k + c).to_pylist() for c in range(3)), strict=True):
                 data, spans = (text or "").encode(), merged(runs or [], length)
                 gaps = zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(data)], strict=True)
                 kept.append(b"".join([data[s:e] for s, e in gaps]))
-                sizes.append(len(data))
-                spans_of.append(len(spans))
-            gone = [n - len(x) for n, x in zip(sizes, kept, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.nulls(b.num_rows, pa.string()), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans_of)), *b.columns[k + 2 :]], names)
+                wordy = [e - s for s, e in merged(near or [], passage) if whole_words(data, s, e) > PASSAGE_WORDS] if passage else []
+                numbers.append((len(data), len(data) - len(kept[-1]), len(spans), sum(wordy), len(wordy)))
+            counts = zip(*numbers, strict=True) if numbers else [()] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.nulls(b.num_rows, pa.string()), pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in counts][: len(new) - 1]], names)
 
-    names = [*(f.name for f in carried), "text", *new]
-    schema = T.StructType([*carried, T.StructField("text", T.StringType()), *(T.StructField(n, t) for n, t in new.items())])
-    own = [F.col(f.name) for f in carried]
-    if passage is None:
-        found = repeated_windows(docs.withColumn("regions", everywhere), rows, size, length=length, choices=choices)
-        return docs.join(runs_by_row(found), "_row", "left").select(*own, "text", "_runs").mapInArrow(cut, schema)
-
-    first = repeated_windows(docs.withColumn("regions", everywhere), rows, size, length=passage, choices=choices)
-    joined = docs.join(runs_by_row(first), "_row", "left").select(*own, "text", "_row", "_runs")
-    met = T.StructType([*joined.schema.fields[:-1], T.StructField("n_passage_bytes", T.LongType()), T.StructField("n_passages", T.LongType()), T.StructField("regions", T.DataType.fromDDL(REGIONS))])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(carried) + 2
-        for b in small(batches):
-            runs, texts = [r or [] for r in b.column(k).to_pylist()], b.column(k - 2).to_pylist()
-            spans = [merged(r, passage) for r in runs]
-            spans = [[(s, e) for s, e in x if whole_words(data, s, e) > PASSAGE_WORDS] if x and (data := t.encode()) else [] for t, x in zip(texts, spans, strict=True)]
-            regions = [stretches(r, passage, length) or None for r in runs]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(regions, kind)], [f.name for f in met.fields])
-
-    measured = staged(joined.mapInArrow(measure, met), "measured")  # the result reads it
-    unstage(first)
-    release(docs.sparkSession)
-    long_ = measured.where("regions IS NOT NULL")
-    inside = long_.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    second = repeated_windows(long_, inside[0], inside[1] or 0, length=length, choices=choices)
-    passages = ["n_passage_bytes", "n_passages"]
-    none = F.lit(None).cast("array<struct<start:int,n:int>>").alias("_runs")
-    plain = measured.where("regions IS NULL").select(*own, "text", none, *passages)
-    return plain.unionByName(long_.join(runs_by_row(second), "_row", "left").select(*own, "text", "_runs", *passages)).mapInArrow(cut, schema)
+    return joined.select(*[F.col(f.name) for f in carried], "text", "_long", "_short").mapInArrow(cut, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

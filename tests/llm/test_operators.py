@@ -665,9 +665,9 @@ def test_suffix_passages(spark, docs):
         edge = np.flatnonzero(np.diff(np.concatenate([[0], short.astype(int), [0]]))).reshape(-1, 2).tolist()
         return [e - s for s, e in edge if sum(s <= m.start() and m.end() <= e for m in re.finditer(rb"\S+", t)) > 50]
 
-    true = Counter((i, bytes(np.frombuffer(t, np.uint8)[~gone]), int(gone.sum()), runs(gone), sum(wordy(t, short)), len(wordy(t, short))) for (i, t, gone), (_, _, short) in zip(covered(texts, 400), covered(texts, 200), strict=True))
+    true = Counter((i, bytes(np.frombuffer(t, np.uint8)[~gone]), int(gone.sum()), runs(gone), sum(wordy(t, short)), len(wordy(t, short))) for (i, t, gone), (_, _, short) in zip(covered(texts, 400), covered(texts, 240), strict=True))
     assert len({x[5] for x in true}) > 1 and len({x[3] for x in true}) > 1
-    out = suffixes.cut_repeats(every, passage=200)
+    out = suffixes.cut_repeats(every, passage=240)
     assert out.columns == ["doc_id", "_row", "_runs", "regions", "kept", "n_bytes", "n_removed", "n_spans", "n_passage_bytes", "n_passages"]
     assert Counter((r.doc_id, bytes(r.kept), r.n_removed, r.n_spans, r.n_passage_bytes, r.n_passages) for r in out.collect()) == true
 
