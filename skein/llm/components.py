@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, unstage
 
-ONE_TASK = 1 << 14
+ONE_TASK = 1 << 17
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ nearly every text has all registers filled; the few others go on with a longer o
 
 Candidates. Texts that are equal word by word are one node from the start. Bands of `ROWS` registers name buckets, and each
 has a centre, first by one of `CENTRES` orders of nodes, so that buckets which a large group fills in many bands mostly
-share them. A node is first checked against two of its buckets' centres, which joins large groups by two pairs a node.
+share them. A node is first checked against two of its buckets' centres, which joins large groups by two pairs a node, and
+twice against two more of those it is not joined with yet.
 Where a bucket still holds several components, nodes are checked against its centre unless in one component with it; then
 against a centre taken anew among those cut off. What is then left is compared across components: pair by pair in buckets
 of at most `FEW` nodes; larger buckets that share nodes form a group, compared block by block of `GROUP_BLOCK` nodes as
@@ -293,12 +294,12 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def first_pairs(members: DataFrame) -> DataFrame:
+def two_centres(members: DataFrame, order: int) -> DataFrame:
     """Each node with two centres among those of its buckets, least by two orders. Buckets that a large group fills in many
-    bands mostly share these, so that a node meets two centres of the group and not one a band."""
+    bands mostly share these, so that a node meets two centres of the group and not one a band. members: node, centre."""
     least = lambda k: F.min(F.struct(F.xxhash64("centre", F.lit(k)), "centre"))["centre"]
-    two = members.groupBy("node").agg(F.array(least(1), least(2)).alias("both"))
-    return ordered(two.select(F.col("node").alias("a"), F.explode("both").alias("b")).where("a <> b"))
+    two = members.groupBy("node").agg(F.array(least(order), least(order + 1)).alias("both"))
+    return two.select(F.col("node").alias("a"), F.explode("both").alias("b")).where("a <> b")
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -316,14 +317,14 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     asked = members.select("node").distinct()
     one = known.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("one")).select(F.col("node").alias("own"), "one.*")
     texts = scratch(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("digest")).join(one, ["doc_id", "digest"]).select(F.col("own").alias("node"), "text", F.length("text").alias("chars")).dropDuplicates(["node"]), "texts")
-    pairs = scratch(first_pairs(members), "pairs")
+    pairs = scratch(ordered(two_centres(members, 1)), "pairs")
     links, tested, large = scratch(verified(pairs, texts, threshold), "found"), pairs, 0
     comp = components(links)
-    for turn_no in ("centre", "anew", "rest"):
+    for turn_no in ("two", "two more", "centre", "anew", "rest"):
         here = members.select("bucket", "node", "centre").join(comp, "node", "left").select("bucket", "node", "centre", F.coalesce("comp", "node").alias("comp"))
         split = here.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         cut = here.join(split, "bucket")
-        if turn_no == "centre":
+        if turn_no in ("two", "two more", "centre"):
             rest = cut.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
         elif turn_no == "anew":
             anew = cut.where("comp <> low").groupBy("bucket").agg(F.min(F.struct(turn.alias("turn"), "node", "comp")).alias("c")).select("bucket", F.col("c.node").alias("fresh"), F.col("c.comp").alias("own"))
@@ -337,9 +338,11 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
             if large := hubs.limit(1).count():
                 groups = components(hubs).select(F.col("comp").alias("group"), "node")
                 links = links.unionByName(scratch(group_links(groups, texts, threshold, scratch), "found"))
-        if turn_no == "centre":  # only pairs that no component joins yet
+        if turn_no in ("two", "two more", "centre"):  # only pairs that no component joins yet
             both = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
             rest = both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+            if turn_no != "centre":
+                rest = two_centres(rest.select(F.col("a").alias("node"), F.col("b").alias("centre")), 3 if turn_no == "two" else 5)
         pairs = scratch(ordered(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
         if some := pairs.limit(1).count():
             links, tested = links.unionByName(scratch(verified(pairs, texts, threshold), "found")), tested.unionByName(pairs)
