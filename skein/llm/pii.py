@@ -15,8 +15,10 @@ wherever it stands: every occurrence outside base spans, in every document, beco
 kind's name in place of base spans and generalises terms to [TERM].
 
 Since c(e, t) is at most c(e) and n(t), only entities with `min_contexts` contexts and words with min_contexts <= n(t)
-<= N ** (1 - disclosure) * c(e) ** disclosure can pass; no others are paired, which leaves out no term. Disclosive words
-are joined with each text's distinct words, and broadcast only where Spark finds their staged table small enough.
+<= N ** (1 - disclosure) * c(e) ** disclosure can pass; no others are paired, which leaves out no term. Up to `AT_ONCE`
+disclosive words are sent to every task as one table in buckets by hash, in which each text's words are looked up where the
+text is read, so that no text is shuffled; more of them are joined with the texts' distinct words, and those with the texts.
+Both ways find the same terms.
 
 Positions come from splitting at the pattern and adding lengths, in blocks, so a text with many spans costs little more
 than linear time. The patterns below are the stated ones with possessive repeats and a look behind at run starts, which
@@ -59,6 +61,7 @@ BESIDE_CHARS = 96
 WORD = r"\p{L}[\p{L}\p{M}'-]{2,}+"
 DISCLOSURE, MIN_CONTEXTS, SIGNIFICANCE = 0.8, 3, 10.83
 BLOCK = 256
+AT_ONCE, BUCKET = 1 << 18, 4  # words in one table, some 8 MB, and in one of its buckets on average
 
 
 def before(sizes: Column) -> Column:
@@ -110,12 +113,12 @@ def words_of(text: Column) -> Column:
 
 
 def occurrences(text: Column, words: Column, base: Column) -> Column:
-    """Spans of kind `term`: where `words` stand in the text outside base spans. Null words are none."""
+    """Spans of kind `term`: where `words` stand in the text outside base spans. Null and no words are none."""
     build = lambda m, start, left, right: F.struct(F.lit("term").alias("kind"), start.alias("start"), (start + F.length(m)).cast("int").alias("end"), F.array_contains(words, F.lower(m)).alias("ok"))
     hit = F.transform(F.filter(located(text, WORD, build), lambda t: t["ok"]), lambda t: t.dropFields("ok"))
     free = F.filter(hit, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return F.when(words.isNotNull(), F.coalesce(free, none)).otherwise(none)
+    return F.when(F.size(words) > 0, F.coalesce(free, none)).otherwise(none)
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -141,8 +144,8 @@ def keys() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("_one"), F.xxhash64("text", "doc_id").alias("_two")]
 
 
-def searched(docs: DataFrame, **options) -> DataFrame:
-    """_one, _two (of `keys`), words: each text's disclosive words, where it has any. docs: doc_id, text (string)."""
+def hidden(docs: DataFrame, **options) -> DataFrame:
+    """word: the disclosive ones, staged. docs: doc_id, text (string)."""
     scratch = Scratch()
     plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     marks = F.transform("_base", lambda s: F.struct(s["entity"].alias("entity"), F.xxhash64(s["left"], s["right"]).alias("beside")))
@@ -150,21 +153,43 @@ def searched(docs: DataFrame, **options) -> DataFrame:
     held = scratch(marked.select("id", F.inline("marks")).groupBy("id", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("beside"))).alias("context")), "held")
     words = staged(disclosive(held, marked.select("id", "text"), docs, scratch, **options).select("word").distinct(), "words")  # what is returned reads it
     scratch.clear()
+    return words
+
+
+def searched(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """_one, _two (of `keys`), words: which of `words` each text holds, where it holds any. docs: doc_id, text (string)."""
     return docs.select(*keys(), F.explode(words_of(F.col("text"))).alias("word")).join(words, "word").groupBy("_one", "_two").agg(F.collect_set("word").alias("words"))
 
 
-def with_spans(docs: DataFrame, **options) -> DataFrame:
+def looked_up(docs: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """`docs` and _said: which of the n `words` each text holds. Their buckets are one value that every task is sent once."""
+    width = n // BUCKET + 1
+    bucket = lambda word: F.pmod(F.xxhash64(word), F.lit(width)).cast("int")
+    every = words.sparkSession.range(0, width, 1, 1).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast("string").alias("word"))  # so that none is left out
+    full = words.select(bucket(F.col("word")).alias("bucket"), "word").unionByName(every).groupBy("bucket").agg(F.collect_list("word").alias("words"))
+    buckets = full.agg(F.sort_array(F.collect_list(F.struct("bucket", "words")))["words"].alias("buckets")).scalar()
+    held = let(F.col("_buckets"), lambda b: F.filter(words_of(F.col("text")), lambda w: F.array_contains(F.get(b, bucket(w)), w)))
+    return docs.withColumn("_buckets", buckets).withColumn("_said", held).drop("_buckets")
+
+
+def with_spans(docs: DataFrame, *, at_once: int = AT_ONCE, **options) -> DataFrame:
     """`docs` (doc_id, text, any others) with _base and _terms, arrays of kind, start, end."""
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    terms = staged(searched(docs.select("doc_id", "text"), **options), "terms")  # so that its size is known to the join
+    own = docs.select("doc_id", "text")
+    words = hidden(own, **options)
+    n = words.count()
+    if n <= at_once:
+        found = looked_up(docs, words, n)
+    else:
+        terms = staged(searched(own, words), "terms")  # so that its size is known to the join
+        found = docs.select("*", *keys()).join(terms, ["_one", "_two"], "left").drop("_one", "_two").withColumnRenamed("words", "_said")
     plain = F.transform("_base", lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    found = docs.select("*", *keys()).join(terms, ["_one", "_two"], "left").drop("_one", "_two")
     found = with_base(found).withColumn("_base", plain)
-    return found.withColumn("_terms", occurrences(F.col("text"), F.col("words"), F.col("_base"))).drop("words")
+    return found.withColumn("_terms", let(F.col("_said"), lambda w: occurrences(F.col("text"), w, F.col("_base")))).drop("_said")
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, base and terms (arrays of kind, start, end) of every row. Options: those of `disclosive`."""
+    """doc_id, base and terms (arrays of kind, start, end) of every row. Options: those of `disclosive`, and `at_once`."""
     return with_spans(docs.select("doc_id", "text"), **options).select("doc_id", F.col("_base").alias("base"), F.col("_terms").alias("terms"))
 
 
@@ -187,7 +212,7 @@ def masked(text: Column, spans: Column, name: Callable[[Column], Column] = lambd
 
 
 def mask(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with personal data in `text` masked. Options: those of `disclosive`."""
+    """`docs` with personal data in `text` masked. Options: those of `disclosive`, and `at_once`."""
 
     def work(own: DataFrame) -> DataFrame:
         return with_spans(own, **options).withColumn("text", masked(F.col("text"), F.concat("_base", "_terms"))).drop("_base", "_terms")

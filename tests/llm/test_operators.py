@@ -270,6 +270,37 @@ def test_pii_terms_of_all_pairs(spark):
     assert masked.columns == docs_.columns and sorted(map(tuple, masked.collect()), key=lambda r: r[3]) == [(i, hide(t), None, k) for k, (i, t) in enumerate(texts)]
 
 
+def test_pii_joins_no_texts(spark):
+    """Terms too large to broadcast neither move the texts nor change what is found; more than `at_once` are found by a join."""
+    name = lambda k: f"Zébulon{chr(97 + k // 5)}{chr(97 + k % 5)}"
+    rows = [(10 * k + i, f"{name(k)} wrote n{k}@home.org pad{chr(97 + k)}{chr(97 + i)} and {name(k).upper()}") for k in range(20) for i in range(6)]
+    rows += [(1000 + i, "other words wrote and") for i in range(300)] + [(1, f"{name(3)} {name(17)} alone"), (1, None), (2000, "")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    key, kept = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        made = [pii.find(docs_), pii.mask(docs_)]
+        assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in made)
+        found, masked = ([tuple(map(str, r)) for r in df.collect()] for df in made)
+        for at_once, joins in ((20, False), (19, True), (0, True)):
+            ways = [pii.find(docs_, at_once=at_once), pii.mask(docs_, at_once=at_once)]
+            assert all(("Join" in df._jdf.queryExecution().optimizedPlan().toString()) == joins for df in ways)
+            assert [Counter(tuple(map(str, r)) for r in df.collect()) for df in ways] == [Counter(found), Counter(masked)]
+    finally:
+        spark.conf.set(key, kept)
+    hide = lambda t: t if t is None else re.sub(r"n\d+@home.org", "[EMAIL]", re.sub(r"(?i)zébulon[a-z]{2}", "[TERM]", t))
+    assert Counter(masked) == Counter((str(i), str(hide(t))) for i, t in rows)
+
+
+def test_pii_looked_up(spark):
+    words = [f"wört{k}" for k in range(0, 2000, 2)]
+    docs_ = spark.createDataFrame([(k, " ".join(f"wört{chr(97 + j)}" for j in range(26)) + f" x{chr(97 + k)}y") for k in range(26)] + [(30, None), (31, "")], "doc_id long, text string")
+    for known in (words + [f"wört{chr(97 + j)}" for j in range(0, 26, 3)] + ["xby"], ["xcy"], []):
+        told = {r.doc_id: r._said for r in pii.looked_up(docs_, spark.createDataFrame([(w,) for w in known], "word string"), len(known)).collect()}
+        assert all(set(told[k]) == {f"wört{chr(97 + j)}" for j in range(26) if f"wört{chr(97 + j)}" in known} | ({f"x{chr(97 + k)}y"} & set(known)) for k in range(26))
+        assert not told[30] and not told[31]
+
+
 def test_licenses(spark, docs):
     text = "Intro.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0. More words"
     rows = spark.createDataFrame([(1, text), (2, None), (3, "no licence to drive"), (4, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.")], "doc_id long, text string")
