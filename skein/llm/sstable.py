@@ -18,6 +18,9 @@ footer and an identifier of 0 in place of the missing one; readers give it back
 Cases: a null text is empty; a null identifier is carried; rows that share an identifier all stay, ordered by their
 ids, which settles ties; a very long text is one entry and one block of its own; an empty table makes no shards; other
 columns, whatever their names, are not stored.
+
+Memory: a worker that encodes holds its cache of parts, an Arrow batch of about 8 MB and what is made of `ENCODED_BYTES` of it,
+and hands the rest back as it goes. What is left then is the cache; writing adds a batch, a block and eight bytes a document.
 """
 
 from __future__ import annotations
@@ -33,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, sized, width_for
+from .common import bound_batches, give_back, shared_dir, sized, width_for
 from .tokens import load, segment_encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 256 << 20
+ENCODED_BYTES = 6 << 20  # text encoded at once; after twice as much, a worker hands free memory back
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MAGIC, NULL_MAGIC = b"SKEINSST", b"SKEINNUL"
 FOOTER = struct.Struct("<QQQQIQQI8s")
@@ -225,6 +229,7 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
     file again under a name of its own and moves it into place, so readers never see half a shard.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or tokenizer_path(VOCABULARY)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, known, size = docs.agg(F.count("*"), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
@@ -235,15 +240,24 @@ def write_shards(docs: DataFrame, folder: str, *, path: str | None = None, shard
     width = 2 if load(path).get_vocab_size() <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = segment_encoder(path)
+        encoder, held = segment_encoder(path), 0
         kind = f"<u{width}"
         end = np.array([end_id], kind).tobytes()
-        for b in sized(batches, 1):
+
+        def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
             at = np.searchsorted(bounds, b.column(0).fill_null(0).to_numpy(), side="right").astype(np.int32)
             ids = [x.astype(kind).tobytes() + end for x in encoder.encode_array(b.column(1))]
             for k in np.flatnonzero(b.column(0).is_null().to_numpy(zero_copy_only=False)):
                 at[k] = len(bounds) + 1 + zlib.crc32(ids[k]) % without
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(at), b.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+
+        for b in sized(batches, 1, size=ENCODED_BYTES):
+            yield encoded(b)
+            held += b.nbytes
+            if held >= 2 * ENCODED_BYTES:
+                give_back()
+                held = 0
+        give_back()
 
     coded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1 + without, F.col("shard")).sortWithinPartitions("doc_id", "ids")

@@ -3,12 +3,15 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, components, embeddings, licenses, lines, neardup, packing, pii, quality, sstable, suffixes
 from skein.llm.common import shared_dir
@@ -516,6 +519,23 @@ def test_shards_of_null_identifiers(spark, docs, empty):
     assert sstable.written_and_read(every.where("doc_id IS NULL")).count() == len(texts)
 
 
+def test_shards_leave_workers_small(spark):
+    """What workers hold more after encoding many distinct parts and writing them."""
+
+    def probe(batches):
+        list(batches)
+        time.sleep(0.3)  # so that every worker gets some
+        yield pa.RecordBatch.from_arrays([pa.array([sum(int(n) for n in re.findall(r"Pss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read())) >> 10])], ["mb"])
+
+    held = lambda: max(r.mb for r in spark.range(0, 16, 1, 16).mapInArrow(probe, "mb long").collect())
+    before = held()
+    words = F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda k: F.conv(F.hex(F.xxhash64("id", k)), 16, 36))
+    many = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    shards = sstable.write_shards(many, shared_dir(spark, "t"), shards=16)
+    assert sum(s["documents"] for s in shards) == 400
+    assert held() < before + 200
+
+
 def test_near_duplicates(spark, docs, empty):
     base = [f"term{i}" for i in range(160)]
     edit = lambda k: " ".join(w if i != 12 * k else "changed" for i, w in enumerate(base))
