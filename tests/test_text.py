@@ -1,8 +1,12 @@
+import random
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.functions.chunking import chunks
+from skein.functions.chunking import chunked, chunks
 from skein.functions.jsonpath import check_rule, parse, passes, resolve
 
 
@@ -76,3 +80,38 @@ def test_citations(spark):
 
     rows = spark.createDataFrame([("x [1]", [1]), ("x [2]", [1]), ("x", [1]), (answers.REFUSAL, []), (answers.REFUSAL + "[9]", []), (None, [1])], "answer string, available array<int>")
     assert [r["error"] for r in answers.validated(rows).collect()] == [None, "invalid:2", "missing", None, "invalid:9", "missing"]
+
+
+@pytest.mark.parametrize("size, overlap", [(800, 100), (40, 7), (40, 0), (3, 0), (1, 0), (40, 11), (40, 12), (40, 39)])
+def test_chunks_in_the_jvm(spark, size, overlap):
+    """As plain Python cuts them, and no Python worker takes part where a pattern can say it."""
+    draw = random.Random(size * 100 + overlap)
+    texts = [None, "", " ", "x" * size, "x" * (size + 1), ("😀" * 9 + "。é ") * 200] + ["".join(draw.choice(signs) for _ in range(draw.randrange(4 * size + 300))) for signs in ("ab .", "abcdefgh", "a\u3000\x1c\n b", "é。，😀 x", " ") for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = chunked(docs, size=size, overlap=overlap)
+    assert sorted((r["doc_id"], r["chunk_index"], r["content"]) for r in found.collect()) == [(k, i, c) for k, t in enumerate(texts) for i, c in enumerate(chunks(t, size, overlap))]
+    assert ("MapInArrow" in found._jdf.queryExecution().toString()) == (size == 1 or 2 * overlap > int(size * 0.55))
+
+
+def test_folding_in_the_jvm(spark):
+    """Every character as plain Python folds it, without a Python worker; what composition may skip it would not change."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b" for c in every[k : k + 500]) for k in range(0, len(every), 500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.lower("t").alias("low"), tx.folded(F.col("t")).alias("f"), F.regexp_count("t", F.lit(f"[{tx.COMPOSED}]")).alias("n"))
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    true = {r[0]: r[1] for r in spark.createDataFrame([(k, bare(t)) for k, t in enumerate(texts)], "k int, t string").select("k", F.lower("t")).collect()}
+    assert {r["k"]: r["f"] for r in rows.collect()} == true and "Python" not in rows._jdf.queryExecution().toString()
+    moved = {c for c in every if unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c} | {x for c in every for x in unicodedata.normalize("NFD", c)[1:]} - {*map(chr, range(0x250))}
+    assert not re.search("[%s]" % re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\U{int(m[1], 16):08x}", tx.COMPOSED), "".join(moved))
+    assert rows.agg(F.sum("n")).first()[0] > 20_000
+
+
+def test_cleaning_clean_texts(spark):
+    """Texts with nothing to tidy are let pass; the rules on all of them give the same."""
+    draw = random.Random(5)
+    every = [chr(c) for c in range(0x3100) if not 0x300 <= c < 0x370]
+    texts = [f"a{c}b \n{c}{c} c{c}\n{c}\nd{c}" for c in every] + [f"a{c}b" for c in every] + ["".join(draw.choice(signs) for _ in range(12)) for signs in ("a \n", "ab\n", "a \t\r\n", "a\u2028\x85 \n", "\ufeff\0a ") for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[\s\p{Z}\x1c-\x1f\x85]+", ""), r"[\s\p{Z}\x1c-\x1f\x85]+$", "")
+    for found, tidy in rows.select(tx.clean(F.col("t"), False), bare(tx._tidied(F.col("t")))).collect():
+        assert found == tidy
