@@ -199,3 +199,23 @@ def test_sources(spark, tmp_path):
     (tmp_path / "z.txt").write_bytes("中文".encode("gb18030"))
     stats = Store(spark, f"file://{tmp_path}/store").index([str(tmp_path)], max_json=10)
     assert (stats["failed"], stats["indexed"]) == (2, 1)
+
+
+def test_commits_copy_nothing(spark, tmp_path):
+    """A commit writes its own chunks alone; rows of replaced documents do not count; many parts become one."""
+    from skein.plans import store as plans
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    raw = lambda *names, text="some words": spark.createDataFrame([(f"/{n}", n, "txt", n, 1, 1, "", f"{text} of {n}") for n in names], "path string, filename string, file_type string, sha256 string, size long, modified_ns long, parser_fingerprint string, text string")
+    store.replace(raw(*"abcdef"))
+    kept = sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "store/part-1").iterdir())
+    for k in range(plans.PARTS - 1):
+        store.replace(raw("b", text=f"other{k}"))
+    assert store.prune(raw(*"abcd").select("path")) == 2
+    assert sum(p.name.startswith("part-") for p in (tmp_path / "store").iterdir()) == plans.PARTS + 1  # the last commit made one of all; earlier versions still read theirs
+    found = store.read()
+    assert sorted(r["content"] for r in found.chunks.collect()) == sorted([f"some words of {n}" for n in "acd"] + [f"other{plans.PARTS - 2} of b"])
+    assert sorted(r["path"] for r in found.documents.collect()) == ["/a", "/b", "/c", "/d"] and health.issues(found).isEmpty()
+    assert {r["field"]: (r["n_chunks"], r["avg_length"]) for r in found.stats.collect()} == {"token": (4, 3.75), "raw": (4, 3.75)}
+    assert store._made_of(store.version())[1] == 0 and store._made_of(store.version() - 1)[0] == list(range(1, plans.PARTS + 1))
+    assert sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "store/part-1").iterdir()) == kept
